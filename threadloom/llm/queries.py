@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from threadloom.llm.language import p1_found, p1_languages
+from threadloom.llm.leakage import p7_found, p7_items
 from threadloom.llm.mixing import p8_selection, p8_shares
 from threadloom.llm.neardup import p3_classes, p3_found
+from threadloom.llm.sentences import p9_found
 from threadloom.llm.splits import same_split_pairs, split_rows
+from threadloom.llm.truncation import p6_found, p6_rates
 
 QUERIES = {
     "p1_found": p1_found,
@@ -14,8 +17,13 @@ QUERIES = {
     "p2_splits": split_rows,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
     "p8_selection": p8_selection,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 ORACLES: dict[str, str] = {}
