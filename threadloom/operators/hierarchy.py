@@ -27,13 +27,15 @@ def _chase(scratch: Scratch, label: str, state: DataFrame, kind: int, trail: boo
     """Double the pointers of the rows of ``kind`` until all have ended or must be on a loop.
 
     state: id, up, dist, low (smallest id from id to before up), kind[, trail]. A row ends when
-    the row it points to has ended. After r rounds an unended row has walked 2^r steps; when that
-    reaches the number of unended rows, its pointer lies on a loop.
+    the row it points to has ended. Round r ends the rows that lie 2^(r-1) to 2^r steps before
+    an end, so once a round ends none, all others lie on loops or below. When these have walked
+    as many steps as they are, their pointers lie on the loops and low has seen all of one.
     """
-    spark, rounds = scratch.spark, 0
+    rounds, before = 0, -1
     live = scratch.save(state.where(F.col("kind") == kind), f"{label}-live0")
     ended = [scratch.save(state.where(F.col("kind") != kind), f"{label}-done0")]
-    while (n := live.count()) and 2**rounds < 2 * n:
+    while (n := live.count()) and not (n == before and 2**rounds >= n):
+        before = n
         target = live
         for part in ended:
             target = target.unionByName(part)
@@ -55,7 +57,6 @@ def _chase(scratch: Scratch, label: str, state: DataFrame, kind: int, trail: boo
     out = live
     for part in ended:
         out = out.unionByName(part)
-    del spark
     return out
 
 

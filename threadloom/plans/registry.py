@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import problems
+from threadloom.plans import corpus, evaluation, problems, texts
 
-MODULES = [problems]
+MODULES = [problems, corpus, evaluation, texts]
 
 
 def queries() -> dict:
