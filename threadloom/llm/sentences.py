@@ -24,7 +24,7 @@ _SHUT = "”»」』)）]\"“"
 _TAIL = re.compile(r"\s*(?:[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+|(?:via\s+)?[#@][\w.@-]*\w|https?://[!-~]+)")
 _EMOJI = re.compile(r"\s*[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+")
 _BEFORE = re.compile(r"[^\W_][\w.]*$")
-_DOTTED = re.compile(r"(?<![\w.])(\w[\w.]{0,11})\.(?=\s+[a-zß-öø-ÿа-яё]|[,;:)])")
+_DOTTED = re.compile(r"(?<![\w.])(\w[\w.]{0,11})\.(?=\s+[a-zß-öø-ÿа-яё]|[,;:])")
 _SPACE = re.compile(r"\s+")
 _OPENERS = "“„«\"(（[¿¡'‘「『—–- "
 # German month names, before which a day number's stop ends nothing.
@@ -288,7 +288,8 @@ def split_sentences(documents: DataFrame) -> DataFrame:
         corpus = known.value
         for pdf in batches:
             rows = [(d, a, b) for d, t in zip(pdf["doc_id"], pdf["text"]) if isinstance(t, str) for a, b in segment(t, corpus)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"])
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, start_pos int, end_pos int")
 
