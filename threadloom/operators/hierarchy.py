@@ -32,8 +32,8 @@ def _chase(scratch: Scratch, label: str, state: DataFrame, kind: int, trail: boo
     as many steps as they are, their pointers lie on the loops and low has seen all of one.
     """
     rounds, before = 0, -1
-    live = scratch.save(state.where(F.col("kind") == kind), f"{label}-live0")
-    ended = [scratch.save(state.where(F.col("kind") != kind), f"{label}-done0")]
+    first = scratch.save(state, f"{label}-step0")
+    live, ended = first.where(F.col("kind") == kind), [first.where(F.col("kind") != kind)]
     while (n := live.count()) and not (n == before and 2**rounds >= n):
         before = n
         target = live
@@ -51,9 +51,7 @@ def _chase(scratch: Scratch, label: str, state: DataFrame, kind: int, trail: boo
         rounds += 1
         new = scratch.save(step, f"{label}-step{rounds}")
         ended.append(new.where(F.col("kind") != kind))
-        if rounds > 1:
-            scratch.drop(f"{label}-live{rounds - 1}")
-        live = scratch.save(new.where(F.col("kind") == kind), f"{label}-live{rounds}")
+        live = new.where(F.col("kind") == kind)
     out = live
     for part in ended:
         out = out.unionByName(part)
