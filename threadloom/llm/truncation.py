@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.llm.sampling import bounded_sample
 from threadloom.session import Scratch
 from threadloom.tables import table
 
@@ -215,7 +216,7 @@ def score(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     rows = df.select("id", "source", "source_detail", "text")
     limits = Scratch(spark, "truncation").save(length_limits(rows.groupBy("source", "source_detail", F.length("text").alias("length")).agg(F.count(F.lit(1)).alias("n")).where("length is not null")), "limits")
-    sample = rows.where("text is not null").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(SAMPLE)
+    sample = bounded_sample(rows.where("text is not null"), "id", SAMPLE, 9, rows.count())
     own = limits.groupBy("source", "source_detail").agg(F.collect_list("length").alias("limits"))
     same = lambda a, b: a.source.eqNullSafe(b.source) & a.source_detail.eqNullSafe(b.source_detail)
     drawn = sample.join(own, same(sample, own), "left").select(sample["id"], "text", "limits").collect()
