@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from threadloom.session import Scratch
 from threadloom.tables import table
 
-TOKENS, BITS = 32, 128
+TOKENS, BITS = 16, 128
 #: Independent trees; a pair of similarity s escapes all first branches with probability (1 - s)^(2 * TREES).
-TREES = 7
+TREES = 6
 #: Nodes of at most so many documents are compared exhaustively; deeper than DEPTH every node is.
 SMALL, DEPTH = 48, 7
 
@@ -125,32 +125,50 @@ def similar_pairs(df: DataFrame, shingle: int = 5, threshold: float = 0.8, least
     scratch.drop("raw")
     tokens = docs.select("doc", "tokens")
 
-    def branch(rows: DataFrame) -> DataFrame:
-        """Two children for each row of node, doc, b0, b1, tokens."""
-        slots = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in (1, 2)]
-        slots[1] = F.when(slots[1] == slots[0], (slots[0] + 1) % TOKENS).otherwise(slots[1])
+    def branch(rows: DataFrame, slots: list, keep: list[str]) -> DataFrame:
+        """A child for each slot of the rows of node, doc, b0, b1, tokens."""
         child = [F.xxhash64("node", s, F.get("tokens", s)) for s in slots]
-        return rows.select(F.explode(F.array(*child)).alias("node"), "doc", "b0", "b1")
+        return rows.select(F.explode(F.array(*child)).alias("node"), *keep)
 
-    roots = docs.select(F.explode(F.array(*[F.lit(r).cast("bigint") for r in range(TREES)])).alias("node"), "doc", "b0", "b1", "tokens")
-    level, leaves = branch(roots), []
+    def chosen() -> list:
+        """Two different slots, the same for all documents of a node."""
+        a, b = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in (1, 2)]
+        return [a, F.when(a == b, (a + 1) % TOKENS).otherwise(b)]
+
+    # The trees' roots branch on two tokens each, all different.
+    level, leaves, wide = branch(docs.withColumn("node", F.lit(0).cast("bigint")), [F.lit(r) for r in range(2 * TREES)], ["doc", "b0", "b1"]), [], []
+    # One-bit sketches agree with probability (1 + s) / 2; the bound lies four standard errors below the threshold.
+    most = int(BITS * (1 - threshold) / 2 + 4 * (BITS * (1 - threshold**2) / 4) ** 0.5)
+    near = lambda x, y: F.bit_count(x.b0.bitwiseXOR(y.b0)) + F.bit_count(x.b1.bitwiseXOR(y.b1)) <= most
     for depth in range(1, DEPTH + 1):
+        cols = [c for c in level.columns if c != "node"]
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        grown = scratch.save(level.join(sizes, "node"), f"level{depth}")
-        big = (F.col("size") > SMALL) & F.lit(depth < DEPTH)
-        leaves.append(grown.where(~big).select("node", "doc", "b0", "b1"))
-        large = grown.where(big).select("node", "doc", "b0", "b1")
+        # Small nodes become one row of at most SMALL documents, in the join's own partitioning; rows of large ones stay apart.
+        apart = F.when(F.col("size") <= SMALL, F.lit(0).cast("bigint")).otherwise(F.col("doc"))
+        nodes = level.join(sizes, "node").groupBy("node", "size", apart.alias("apart")).agg(F.collect_list(F.struct(*cols)).alias("docs"))
+        nodes = scratch.save(nodes, f"level{depth}")
+        leaves.append(nodes.where(F.col("size") <= SMALL).select("docs"))
+        large = nodes.where(F.col("size") > SMALL).select("node", F.col("docs")[0].alias("d")).select("node", "d.*")
         if large.isEmpty():
             break
-        level = branch(large.join(tokens, "doc"))
+        if depth == DEPTH:
+            wide.append(large)
+            break
+        if "tokens" not in cols:
+            large = large.join(tokens, "doc")
+        level = branch(large, chosen(), ["doc", "b0", "b1", *(["tokens"] if depth > 1 else [])])
     pairs = None
-    # One-bit sketches agree with probability (1 + s) / 2; the bound lies four standard errors below the threshold.
-    most = int(BITS * (1 - threshold) / 2 + 4 * (BITS * (1 - threshold**2) / 4) ** 0.5)
     for leaf in leaves:
-        other = leaf.select("node", F.col("doc").alias("doc_b"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-        near = F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) <= most
-        found = leaf.join(other, "node").where((F.col("doc") < F.col("doc_b")) & near).select(F.col("doc").alias("doc_a"), "doc_b")
+        slim = leaf.select(F.array_sort(F.transform("docs", lambda d: F.struct(d.doc.alias("doc"), d.b0.alias("b0"), d.b1.alias("b1")))).alias("ds"))
+        first = slim.select(F.posexplode("ds").alias("at", "x"), "ds")
+        ends = F.filter("ds", lambda y, k: (k > F.col("at")) & near(F.col("x"), y))
+        found = first.select(F.col("x.doc").alias("doc_a"), F.explode(F.transform(ends, lambda y: y.doc)).alias("doc_b"))
         pairs = found if pairs is None else pairs.unionByName(found)
+    for rows in wide:  # documents that agree in all tokens of a path: nearly all are similar
+        x = rows.select("node", F.struct("doc", "b0", "b1").alias("x"))
+        y = rows.select("node", F.struct("doc", "b0", "b1").alias("y"))
+        found = x.join(y, "node").where((F.col("x.doc") < F.col("y.doc")) & near(F.col("x"), F.col("y"))).select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
+        pairs = pairs.unionByName(found)
     candidates = scratch.save(pairs.distinct(), "candidates")
     grams = docs.select("doc", "grams")
     both = candidates.join(grams.select(F.col("doc").alias("doc_a"), F.col("grams").alias("ga")), "doc_a").join(grams.select(F.col("doc").alias("doc_b"), F.col("grams").alias("gb")), "doc_b")
