@@ -24,7 +24,7 @@ from threadloom.tables import table
 
 TOKENS, BITS = 16, 128
 #: Independent trees; a pair of similarity s escapes all first branches with probability (1 - s)^(2 * TREES).
-TREES = 6
+TREES = 7
 #: Nodes of at most so many documents are compared exhaustively; deeper than DEPTH every node is.
 SMALL, DEPTH = 48, 7
 
