@@ -54,6 +54,14 @@ def test_hierarchy_against_brute_force(spark):
     assert under[("x000", "x059")] == 59 and len([k for k in under if k[0] == "x050"]) == 9
 
 
+def test_hierarchy_of_chains_below_loops(spark):
+    rows = [(f"l{k}-{j}", f"l{k}-{1 - j}") for k in range(30) for j in range(2)]  # three in four have no splitter
+    rows += [(f"d{k}-{j:02}", f"d{k}-{j - 1:02}" if j else f"l{k}-{k % 2}") for k in range(30) for j in range(3 + k)]
+    found = hierarchy(spark.createDataFrame(rows, "id string, parent_id string"), paths=True).collect()
+    assert len(found) == len(rows) and {r["id"]: (r["root_id"], r["depth"]) for r in found} == brute_hierarchy(rows)
+    assert {r["path"] for r in found} == {None}
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy(spark.createDataFrame([], "id string, parent_id string")).collect() == []
 

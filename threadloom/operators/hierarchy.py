@@ -3,8 +3,9 @@
 The nodes that somebody names as parent form the inner graph; all others hang on it by one
 join. In the inner graph a deterministic hash makes one node in ``SPLITTER_EVERY`` a splitter.
 Every node walks to its next splitter or root (walks are shortened by pointer doubling), the
-graph of splitters alone is solved, and its solution is expanded to the nodes between. Loops
-without a splitter never end their walk and are solved on their own.
+graph of splitters alone is solved, and its solution is expanded to the nodes between. Walks onto
+loops without a splitter never end and are solved on their own; splitters among them are ends of
+the graph of splitters.
 """
 
 from __future__ import annotations
@@ -75,15 +76,19 @@ def _solve_inner(scratch: Scratch, inner: DataFrame, trail: bool = False) -> Dat
         *([F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("id")).alias("trail")] if trail else []),
     )
     walked = scratch.save(_chase(scratch, f"walk{int(trail)}", start, OPEN, trail), f"walked{int(trail)}")
-    reduced = walked.where(_is_splitter(F.col("id")) & (F.col("kind") != OPEN))
+    # Rows whose walk never ends; splitters among them end the reduced graph, with the loop's root as pointer.
+    endless = scratch.save(_loops(walked.where(F.col("kind") == OPEN), walked), f"endless{int(trail)}")
+    stuck = walked.where(_is_splitter(F.col("id")) & (F.col("kind") == OPEN)).drop("up").join(endless.withColumnRenamed("root", "up"), "id")
+    reduced = walked.where(_is_splitter(F.col("id")) & (F.col("kind") != OPEN)).unionByName(stuck)
     solved = scratch.save(_chase(scratch, f"reduced{int(trail)}", reduced, AT_SPLITTER, trail), f"solved{int(trail)}")
     extra = ["trail"] if trail else []
     at_root = solved.where(F.col("kind") == AT_ROOT).select("id", F.col("up").alias("root"), F.col("dist").alias("depth"), *extra)
-    on_loop = _loops(solved.where(F.col("kind") == AT_SPLITTER), solved).withColumn("depth", F.lit(-1).cast("bigint"))
+    below = solved.where(F.col("kind") == OPEN).select("id", F.col("up").alias("root"))
+    on_loop = _loops(solved.where(F.col("kind") == AT_SPLITTER), solved).unionByName(below).withColumn("depth", F.lit(-1).cast("bigint"))
     if trail:
         on_loop = on_loop.withColumn("trail", F.lit(None).cast("array<string>"))
     splitters = at_root.unionByName(on_loop)
-    rest = walked.where(~_is_splitter(F.col("id")) | (F.col("kind") == OPEN))
+    rest = walked.where(~_is_splitter(F.col("id")))
     direct = rest.where(F.col("kind") == AT_ROOT).select("id", F.col("up").alias("root"), F.col("dist").alias("depth"), *extra)
     reach = splitters.select(*[F.col(c).alias(f"s_{c}") for c in splitters.columns])
     between = (
@@ -96,7 +101,7 @@ def _solve_inner(scratch: Scratch, inner: DataFrame, trail: bool = False) -> Dat
             *([F.concat("trail", "s_trail").alias("trail")] if trail else []),
         )
     )
-    splitterless = _loops(rest.where(F.col("kind") == OPEN), walked).withColumn("depth", F.lit(-1).cast("bigint"))
+    splitterless = endless.where(~_is_splitter(F.col("id"))).withColumn("depth", F.lit(-1).cast("bigint"))
     if trail:
         splitterless = splitterless.withColumn("trail", F.lit(None).cast("array<string>"))
     return splitters.unionByName(direct).unionByName(between).unionByName(splitterless)
