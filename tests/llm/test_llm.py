@@ -39,6 +39,13 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want and ("copy1", "copy2") in got
 
 
+def test_similar_pairs_in_large_nodes(spark):
+    n, shared = 300, " ".join(f"shared{k}" for k in range(44))
+    rows = [(f"d{k:03}", shared + " " + " ".join(f"own{k}x{j}" for j in range(18))) for k in range(n)]  # any two: 42 of 78 shingles
+    members, pairs = neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"), 3, 0.5, 36)
+    assert members.count() == n and pairs.count() > 0.97 * n * (n - 1) / 2
+
+
 def test_no_pairs_of_nothing(spark):
     members, pairs = neardup.similar_pairs(spark.createDataFrame([], "id string, text string"))
     assert members.collect() == [] and pairs.collect() == []
