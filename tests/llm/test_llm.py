@@ -165,6 +165,17 @@ def test_truncation_of_odd_rows(spark):
     assert truncation.score(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_leaks_of_many_edited_copies(spark):
+    rng = random.Random(12)
+    words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(63)]
+    edited = lambda k: [w if (j + k) % 8 else f"new{rng.randrange(10**6)}" for j, w in enumerate(words)]
+    other = [w for _ in range(12) for w in rng.sample(words, len(words))]  # the same words in no order
+    docs = [(1, [w for k in range(12) for w in edited(k)]), (2, edited(0) + other + edited(3)), (3, other)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id bigint, text string")
+    assert sorted(map(tuple, leakage.find_leaks(df, items).collect())) == [(1, 5), (2, 5)]
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     opener = "rate the statement on the six step scale from plainly false to wholly true and give one reason "
