@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 import random
+import unicodedata
 from zoneinfo import ZoneInfo
 
 import duckdb
@@ -136,6 +137,30 @@ def test_text_functions(spark):
     assert T.word_hash("") == 0 and T.word_hash("one two three four") == T.word_hash("One two  three four")
 
 
+def brute_tags(text):
+    """By hand, one character at a time: letters, marks, decimal digits and connectors make a tag of up to 139."""
+    word = lambda c: unicodedata.category(c)[0] in "LM" or unicodedata.category(c) in ("Nd", "Nl", "Pc")
+    tags, k = set(), 0
+    while k < len(text or ""):
+        end = k + 1
+        if text[k] == "#" and not (k and (word(text[k - 1]) or text[k - 1] == "&")):
+            while end < len(text) and word(text[end]) and end - k <= 139:
+                end += 1
+            if end > k + 1:
+                tags.add(text[k + 1 : end].lower())
+        k = end
+    return ",".join(sorted(tags))
+
+
+def test_hashtags_of_all_texts(spark, tmp_path):
+    texts = ["#Größe und #ÉTÉ, #été", "#a#b #c", "é#x &#39; &#y", "#日本語 と#東京 、#大阪", "#हिन्दी #Привет_мир!", "plain #Tag #tag", "# #", "#" + "ü" * 200, "", None, "no tag"]
+    one = spark.read.parquet(f"{SMALL}/records.parquet").limit(1)
+    rows = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "i string, t string").crossJoin(one)
+    rows.select(*[F.col({"id": "i", "text": "t"}.get(c, c)).alias(c) for c in one.columns]).write.parquet(f"{tmp_path}/records.parquet")
+    got = {r["id"]: r["tags"] for r in registry.queries()["text_hashtags_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"t{k}": brute_tags(t) for k, t in enumerate(texts)}
+
+
 def test_corpus_and_upsert(spark, tmp_path):
     rows = spark.read.parquet(f"{SMALL}/records.parquet")
     root = f"file://{tmp_path}/corpus"

@@ -50,8 +50,18 @@ def domains_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_R + "SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^\\w&#])#(\\w{1,139})', 1), lambda x: lower(x)))), ',') AS tags FROM r WHERE regexp_matches(text, '^[\\x00-\\x7f]*$') AND NOT regexp_matches(text, '#\\w+#')")
 def text_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashtags found in texts of plain letters (the SQL engine knows no other)."""
+    """Hashtags found in texts of plain letters (the SQL engine knows no other); text_hashtags_all has those of all texts."""
     r = latest(spark, sf_dir).where(F.col("text").rlike("^[\\x00-\\x7f]*$") & ~F.col("text").rlike("#\\w+#"))
+    return _tags_of(r)
+
+
+@query()
+def text_hashtags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashtags found in all texts, in any writing; null texts have none."""
+    return _tags_of(latest(spark, sf_dir))
+
+
+def _tags_of(r: DataFrame) -> DataFrame:
     return r.select("id", F.array_join(F.array_sort(T.hashtags(F.col("text"))), ",").alias("tags"))
 
 
