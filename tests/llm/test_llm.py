@@ -100,6 +100,23 @@ def test_splits_keep_components_together(spark):
         assert by[(r["table_name"], r["key_a"])] == by[(r["table_name"], r["key_b"])] and r["key_a"] < r["key_b"]
 
 
+def test_every_row_gets_a_split(spark, tmp_path):
+    counts = {}
+    for name, column in (("authors", None), ("records", "author_id"), ("train_stances", "body_id"), ("users", "id")):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        if column:
+            lot = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+            rows = rows.withColumn(column, F.when(lot == 0, F.lit(None)).when(lot == 1, F.lit(" ") if name != "records" else F.lit("reddit:__deleted__")).otherwise(F.col(column)))
+            rows = rows.withColumn("id", F.when(F.length("text") % 2 == 0, F.col("id"))) if name == "records" else rows
+            counts[name] = rows.count()
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    grouped = {(r["table_name"], r["key"], r["split"]): r["n_rows"] for r in splits.split_rows(spark, str(tmp_path)).collect()}
+    assert {t: sum(n for k, n in grouped.items() if k[0] == t) for t in counts} == counts
+    assert all({k[2] for k in grouped if k[0] == t and k[1] is None} == set(splits.SPLITS) for t in counts)
+    single = splits.row_splits(spark, str(tmp_path)).groupBy("table_name", "key", "split").count().collect()
+    assert {(r["table_name"], r["key"], r["split"]): r["count"] for r in single} == grouped
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fit_lengths(seed):
     rng = random.Random(seed)

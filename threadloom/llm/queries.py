@@ -7,7 +7,7 @@ from threadloom.llm.leakage import p7_found, p7_items
 from threadloom.llm.mixing import p8_selection, p8_shares
 from threadloom.llm.neardup import p3_classes, p3_found
 from threadloom.llm.sentences import p9_found
-from threadloom.llm.splits import same_split_pairs, split_rows
+from threadloom.llm.splits import row_splits, same_split_pairs, split_rows
 from threadloom.llm.truncation import p6_found, p6_rates
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "p1_languages": p1_languages,
     "p2_found": same_split_pairs,
     "p2_splits": split_rows,
+    "p2_rows": row_splits,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p6_found": p6_found,

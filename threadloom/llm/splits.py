@@ -49,6 +49,10 @@ def normal_user(key: Column) -> Column:
     return F.nullif(_number(F.regexp_replace(_strip(key), r"(?i)^u(?=\d)", "")), F.lit(""))
 
 
+#: Each table's column that holds the key, and its normal form.
+KEYS = (("records", "author_id", normal_author), ("train_stances", "body_id", normal_body), ("users", "id", normal_user))
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, root: the smallest node of each connected component, for the nodes of the edges.
 
@@ -98,7 +102,7 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_acct = named.join(handles.where("acct is not null").groupBy("acct").agg(F.min("owner").alias("b")), "acct").select("a", "b")
     roots = components(by_id.unionByName(by_acct), "a", "b")
     parts = []
-    for name, column, normal in (("records", "author_id", normal_author), ("train_stances", "body_id", normal_body), ("users", "id", normal_user)):
+    for name, column, normal in KEYS:
         counted = table(spark, sf_dir, name).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
         parts.append(counted.select(F.lit(name).alias("table_name"), "key", normal(F.col("key")).alias("normal"), "n_rows"))
     keys = reduce(lambda a, b: a.unionByName(b), parts).where("normal is not null")
@@ -173,8 +177,8 @@ def subset_sum_plan(sizes: dict[int, int], shares: tuple[float, ...] = SHARES) -
 def assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, key (as written), split, n_rows; every row's split follows from its written key.
 
-    Rows without a key, or of the deleted author, are nobody's group: they are dealt out by
-    ``split_of_row`` one by one. Each table is split on its own, so its three parts come as near
+    Rows without a key, or of the deleted author, are nobody's group and not in this table:
+    ``keyless_rows`` deals them out one by one. Each table is split on its own, so its three parts come as near
     80/10/10 as its component sizes allow.
     """
     keys = Scratch(spark, "splits").save(spellings(spark, sf_dir), "keys")
@@ -203,9 +207,29 @@ def split_of_row(row_id: Column) -> Column:
     return F.when(x == 8, "validation").when(x == 9, "test").otherwise("train")
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
+    """table_name, row_id, key of every row; row_id is the id, or a hash of the whole row where there is none."""
+    rows = table(spark, sf_dir, name)
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    row_id = F.coalesce(F.col("id"), whole) if "id" in rows.columns else whole
+    return rows.select(F.lit(name).alias("table_name"), row_id.alias("row_id"), F.col(column).alias("key"))
+
+
+def keyless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, row_id, key, split of every row without a key or of the deleted author; equal rows share a split."""
+    parts = [_rows(spark, sf_dir, name, column).where(normal(F.col("key")).isNull()) for name, column, normal in KEYS]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("split", split_of_row(F.col("row_id")))
+
+
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_name, row_key, split, n: the number of rows of each written key in its split."""
+    """table_name, key, split, n_rows: the number of rows of each written key in its split."""
     grouped = assign_splits(spark, sf_dir)
-    single = table(spark, sf_dir, "records").where(normal_author(F.col("author_id")).isNull()).select(F.lit("records").alias("table_name"), F.col("author_id").alias("key"), split_of_row(F.col("id")).alias("split"))
-    dealt = single.groupBy("table_name", "key", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+    dealt = keyless_rows(spark, sf_dir).groupBy("table_name", "key", "split").agg(F.count(F.lit(1)).alias("n_rows"))
     return grouped.unionByName(dealt)
+
+
+def row_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, row_id, key, split: the split of every single row of the three tables."""
+    keyed = reduce(lambda a, b: a.unionByName(b), [_rows(spark, sf_dir, name, column).where(normal(F.col("key")).isNotNull()) for name, column, normal in KEYS])
+    grouped = assign_splits(spark, sf_dir).select("table_name", "key", "split")
+    return keyed.join(grouped, ["table_name", "key"]).select("table_name", "row_id", "key", "split").unionByName(keyless_rows(spark, sf_dir))
