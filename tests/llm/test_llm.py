@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,45 @@ def test_sentences_of_documents(spark):
     got = sorted(tuple(r) for r in sentences.split_sentences(docs).collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 0, 249_999)]
     assert sentences.split_sentences(docs.where("false")).collect() == []
+
+
+def test_leaks_at_the_edit_budget():
+    """Passages with as many edits as allowed are found in any document; the same answer for any block of items."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    lead = [rng.choice(words) for _ in range(16)]
+    items = [(i, (lead if i % 3 == 0 else []) + [rng.choice(words) for _ in range(rng.randint(35, 90))]) for i in range(40)]
+    docs, truth = [], set()
+    for n in range(300):
+        i, w = rng.choice(items)
+        w = w[16:] if i % 3 == 0 else w
+        m = rng.choice([30, 34, 35, rng.randint(30, len(w)), len(w)])
+        at = rng.randint(0, len(w) - m)
+        spots = set(rng.sample(range(1, m - 1), m // 7))
+        kept = [y for k, x in enumerate(w[at : at + m]) for y in ([x] if k not in spots else rng.choice([[], ["zz" + x], ["zzz", x]]))]
+        around = [rng.choice(words) for _ in range(rng.choice([0, 40, 2000]))]
+        cut = rng.randint(0, len(around))
+        docs.append((n, around[:cut] + kept + around[cut:]))
+        truth.add((n, i))
+    docs += [(1000 + k, lead + [rng.choice(words) for _ in range(60)]) for k in range(20)]  # shared wording alone
+    whole = set(leakage.local_leaks(docs, [x for block in leakage.indexes(items) for x in block]))
+    assert whole == truth
+    assert whole == {x for block in leakage.indexes(items, block=7) for x in leakage.local_leaks(docs, block)}
+
+
+def test_the_lemma_bound_is_a_bound():
+    """No edited stretch keeps fewer q-grams than the bound says."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    item = leakage.Item(1, words, np.zeros(60, bool), np.zeros(47, bool))
+    starts = np.cumsum([0] + [len(w) for w in words])
+    counts, loose, _ = leakage.lemma(item, leakage.WORDS, 8)
+    for _ in range(400):
+        n = rng.randint(30, 59)
+        x = rng.randint(0, 60 - n)
+        hit = set(rng.sample(range(x, x + n), n // 7))
+        kept = 0
+        for k in range(x, x + n):
+            end = int(np.searchsorted(starts, starts[k] + 8))
+            kept += bool(counts[k]) and end <= x + n and not hit & set(range(k, end))
+        assert kept >= loose
