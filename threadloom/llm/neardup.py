@@ -1,10 +1,10 @@
 """Records whose texts differ by small edits: a chosen-path set similarity join.
 
 Texts become sets of word shingles with minwise tokens. In each of several independent trees a
-node branches on tokens chosen by the node's own hash, so that all its documents branch on the
-same ones: roots on two, all others on three. Small nodes compare their documents exhaustively;
-large ones branch on. Candidates pass comparisons of bit sketches and of tokens and then an exact
-check of the shingle sets.
+root chooses three tokens and branches on each two of them; every further node branches on three
+tokens that its own hash chooses, so that all its documents branch on the same ones. Nodes of one
+document are dropped, small nodes compare their documents exhaustively, large ones branch on.
+Candidates pass a comparison of sketches and then an exact one of the shingle sets, from the words.
 Copies of a text are one document in the trees and come back by membership.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 from threadloom.session import Scratch
 from threadloom.tables import table
 
-TOKENS, BITS = 32, 128
-#: Independent trees; a pair of similarity s escapes all first branches with probability (1 - s)^(2 * TREES).
-#: It must agree at every branch until its node is small. Three slots a node keep 3 s > 1 ways open at s = 0.5, so
-#: that recall hardly falls with depth (simulated: 0.997 at depth 3, 0.985 at 7; with two slots 0.977 and 0.846).
+#: Minwise values of a document; tokens to branch on; bits of each value in the sketch.
+VALUES, TOKENS, PLANES = 128, 32, 4
+#: Independent trees. Two of a root's three tokens agree with probability 3 s^2 - 2 s^3, a half at
+#: s = 0.5, so that a pair escapes all roots with probability 0.5^TREES (0.0078; at s = 0.55 0.0031).
+#: In larger nodes it must agree on: three slots a node keep 3 s > 1 ways open at s = 0.5.
 TREES = 7
-#: Nodes of at most so many documents are compared exhaustively; deeper than DEPTH every node is.
-SMALL, DEPTH = 48, 7
+#: Nodes of at most so many documents are compared exhaustively; at DEPTH tokens every node is, in blocks of so many.
+SMALL, DEPTH = 64, 7
+#: The sketch's bound lies so many standard errors below the threshold.
+ERRORS = 3.5
 
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-䶿一-鿿]|[豈-﫿]")
 _MARK = re.compile(r"[̀-ͯ֐-߿ऀ-෿⃐-⃿]")
@@ -44,13 +48,13 @@ def words_of(text: str) -> list[str]:
 
 
 class Sketcher:
-    """Shingle sets, minwise tokens and bit sketches of batches of texts."""
+    """Shingle sets, minwise tokens and sketches of batches of texts."""
 
     def __init__(self, shingle: int):
         rng = np.random.default_rng(20240229)
         self.shingle = shingle
-        self.mult = rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(0, 2**63, BITS, dtype=np.uint64)
+        self.mult = rng.integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
+        self.add = rng.integers(0, 2**63, VALUES, dtype=np.uint64)
         self.join = rng.integers(1, 2**63, shingle, dtype=np.uint64) | np.uint64(1)
         self.memo: dict[str, int] = {}
 
@@ -64,29 +68,29 @@ class Sketcher:
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, words: list[str]) -> np.ndarray:
+        """Sorted distinct 64-bit codes of the runs of words."""
         c, k = self.codes(words), self.shingle
         h = c[: len(c) - k + 1] * self.join[0]
         for j in range(1, k):
             h = (h ^ (h >> np.uint64(29))) + c[j : len(c) - k + 1 + j] * self.join[j]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))
+        return np.unique((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
 
     def sketch(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """TOKENS minwise values of 32 bits and BITS sketch bits as two longs, for each set."""
-        flat = np.concatenate(sets).astype(np.uint64)
+        """TOKENS minwise values of 32 bits, and PLANES bits of all VALUES as longs, for each set."""
+        flat = np.concatenate(sets)
         starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-        low = np.empty((BITS, len(sets)), np.uint32)
-        spread = (flat + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        low = np.empty((VALUES, len(sets)), np.uint32)
+        spread = (flat ^ (flat >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         spread ^= spread >> np.uint64(32)
-        for t in range(BITS):
+        for t in range(VALUES):
             low[t] = np.minimum.reduceat(((spread * self.mult[t] + self.add[t]) >> np.uint64(32)).astype(np.uint32), starts)
         mixed = low * np.uint32(0x85EBCA6B)
-        bits = np.packbits((mixed >> np.uint32(31)).astype(np.uint8), axis=0).T.copy().view(">i8").astype(np.int64)
-        return low[:TOKENS].T.astype(np.int32), bits
+        planes = [np.packbits((mixed >> np.uint32(31 - k) & np.uint32(1)).astype(np.uint8), axis=0).T.copy().view(np.uint64) for k in range(PLANES)]
+        return low[:TOKENS].T.astype(np.int32), np.concatenate(planes, axis=1)
 
 
 def sketches(df: DataFrame, shingle: int, least_words: int) -> DataFrame:
-    """id, copy (hash of the word sequence), grams, tokens, bits from id and text; no rows for texts that are no cases."""
+    """id, doc (hash of the word sequence), words, tokens, payload (doc and sketch) from id and text; no rows for texts that are no cases."""
     made: list[Sketcher] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +98,7 @@ def sketches(df: DataFrame, shingle: int, least_words: int) -> DataFrame:
             made.append(Sketcher(shingle))
         sk = made[0]
         for pdf in batches:
-            ids, copies, sets = [], [], []
+            ids, docs, texts, sets = [], [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
                 if not isinstance(text, str) or i is None or _UNSPACED.search(text):
                     continue
@@ -102,37 +106,94 @@ def sketches(df: DataFrame, shingle: int, least_words: int) -> DataFrame:
                 if len(words) < max(least_words, shingle):
                     continue
                 ids.append(i)
-                copies.append(xxhash.xxh3_128_digest(" ".join(words)))
+                texts.append(" ".join(words))
+                docs.append(xxhash.xxh3_64_intdigest(texts[-1]))
                 sets.append(sk.shingles(words))
             if ids:
                 tokens, bits = sk.sketch(sets)
-                yield pd.DataFrame({"id": ids, "copy": copies, "grams": [s.view(np.int32) for s in sets], "tokens": list(tokens), "b0": bits[:, 0], "b1": bits[:, 1]})
+                names = np.array(docs, np.uint64)
+                payload = [x.tobytes() for x in np.c_[names, bits]]
+                yield pd.DataFrame({"id": ids, "doc": names.view(np.int64), "words": texts, "tokens": list(tokens), "payload": payload})
 
-    return df.select("id", "text").mapInPandas(run, "id string, copy binary, grams array<int>, tokens array<int>, b0 bigint, b1 bigint")
+    return df.select("id", "text").mapInPandas(run, "id string, doc bigint, words string, tokens array<int>, payload binary")
+
+
+def _compare(nodes: DataFrame, most: int) -> DataFrame:
+    """doc_a < doc_b: pairs within xs, or between xs and ys where there are any, whose sketches differ in at most ``most`` values."""
+    half = VALUES // 64
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for k, (x, y) in enumerate(zip(pdf["xs"], pdf["ys"])):
+                shapes.setdefault((len(x), len(y)), []).append(k)
+            found = []
+            for (n, m), rows in shapes.items():
+                i, j = np.triu_indices(n, 1) if not m else (x.ravel() for x in np.meshgrid(np.arange(n), n + np.arange(m)))
+                if not len(i):
+                    continue
+                step = max(1, (1 << 19) // len(i))
+                for s in range(0, len(rows), step):
+                    joined = b"".join(b"".join([*pdf["xs"].iat[k], *pdf["ys"].iat[k]]) for k in rows[s : s + step])
+                    grid = np.frombuffer(joined, np.uint64).reshape(-1, n + m, 1 + half * PLANES)
+                    differ = 0
+                    for part in range(half):
+                        bits = 0
+                        for plane in range(PLANES):
+                            column = grid[:, :, 1 + plane * half + part]
+                            bits |= column[:, i] ^ column[:, j]
+                        differ += np.bitwise_count(bits)
+                    node, at = np.nonzero(differ <= most)
+                    names = grid[:, :, 0].view(np.int64)
+                    found.append(np.c_[names[node, i[at]], names[node, j[at]]])
+            if found:
+                pairs = np.concatenate(found)
+                pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+                yield pd.DataFrame({"doc_a": pairs[:, 0], "doc_b": pairs[:, 1]})
+
+    return nodes.mapInPandas(run, "doc_a bigint, doc_b bigint")
+
+
+def _verify(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs doc_a, doc_b with words_a, words_b whose sets of word runs are similar enough."""
+
+    def runs(words: str) -> set[tuple[str, ...]]:
+        w = words.split(" ")
+        return set(zip(*[w[k:] for k in range(shingle)]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets: dict[int, set] = {}
+            keep = []
+            for a, b, x, y in zip(pdf["doc_a"], pdf["doc_b"], pdf["words_a"], pdf["words_b"]):
+                one = sets[a] if a in sets else sets.setdefault(a, runs(x))
+                other = sets[b] if b in sets else sets.setdefault(b, runs(y))
+                common = len(one & other)
+                keep.append(common >= threshold * (len(one) + len(other) - common))
+            yield pdf.loc[keep, ["doc_a", "doc_b"]]
+
+    return pairs.mapInPandas(run, "doc_a bigint, doc_b bigint")
 
 
 def similar_pairs(df: DataFrame, shingle: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of a table with id and text.
 
-    members: id, doc - the distinct ids and the text they hold. pairs: doc_a < doc_b with
-    similarity >= threshold between different texts. Similarity is the share of the distinct
-    shingles of both that both hold. Null ids or texts, texts of fewer words than a shingle or
-    ``least_words`` and texts in Chinese, Japanese or Thai writing are no members; repeated rows
-    count once; if one id holds several texts, it is a member of each.
+    members: id, doc - the distinct ids and the text they hold, named by a 64-bit hash of its words.
+    pairs: doc_a < doc_b with similarity >= threshold between different texts. Similarity is the
+    share of the distinct shingles of both that both hold. Null ids or texts, texts of fewer words
+    than a shingle or ``least_words`` and texts in Chinese, Japanese or Thai writing are no members;
+    repeated rows count once; if one id holds several texts, it is a member of each.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     raw = scratch.save(sketches(df, shingle, least_words), "raw")
-    members = scratch.save(raw.select("id", F.xxhash64("copy").alias("doc")).distinct(), "members")
-    docs = raw.groupBy(F.xxhash64("copy").alias("doc")).agg(F.min_by(F.struct("grams", "tokens", "b0", "b1"), "id").alias("s"))
-    docs = scratch.save(docs.select("doc", "s.*"), "docs")
+    members = scratch.save(raw.select("id", "doc").distinct(), "members")
+    docs = scratch.save(raw.groupBy("doc").agg(F.first(F.struct("words", "tokens", "payload")).alias("s")).select("doc", "s.*"), "docs")
     scratch.drop("raw")
-    tokens = docs.select("doc", "tokens")
 
-    def branch(rows: DataFrame, slots: list, keep: list[str]) -> DataFrame:
-        """A child for each slot of the rows of node, doc, b0, b1, tokens."""
-        child = [F.xxhash64("node", s, F.get("tokens", s)) for s in slots]
-        return rows.select(F.explode(F.array(*child)).alias("node"), *keep)
+    def branch(rows: DataFrame, slots: list) -> DataFrame:
+        """A child for each slot of the rows of node, doc, tokens."""
+        return rows.select(F.explode(F.array(*[F.xxhash64("node", s, F.get("tokens", s)) for s in slots])).alias("node"), "doc")
 
     def chosen() -> list:
         """Three different slots, the same for all documents of a node."""
@@ -141,56 +202,43 @@ def similar_pairs(df: DataFrame, shingle: int = 5, threshold: float = 0.8, least
         c = c + (c >= F.least(a, b)).cast("int")
         return [a, b, c + (c >= F.greatest(a, b)).cast("int")]
 
-    # The trees' roots branch on two tokens each, all different.
-    level, leaves, wide = branch(docs.withColumn("node", F.lit(0).cast("bigint")), [F.lit(r) for r in range(2 * TREES)], ["doc", "b0", "b1"]), [], []
-    keep = ["doc", "b0", "b1"]
-    # One-bit sketches agree with probability (1 + s) / 2; the bound lies four standard errors below the threshold.
-    most = int(BITS * (1 - threshold) / 2 + 4 * (BITS * (1 - threshold**2) / 4) ** 0.5)
-    near = lambda x, y: F.bit_count(x.b0.bitwiseXOR(y.b0)) + F.bit_count(x.b1.bitwiseXOR(y.b1)) <= most
-
-    def leaf_pairs(leaf: DataFrame) -> DataFrame:
-        slim = leaf.select(F.array_sort("docs").alias("ds"))
-        first = slim.select(F.posexplode("ds").alias("at", "x"), "ds")
-        ends = F.filter("ds", lambda y, k: (k > F.col("at")) & near(F.col("x"), y))
-        return first.select(F.col("x.doc").alias("doc_a"), F.explode(F.transform(ends, lambda y: y.doc)).alias("doc_b"))
-
-    for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        # Small nodes become one row of at most SMALL documents, in the join's own partitioning; rows of large ones stay apart.
-        apart = F.when(F.col("size") <= SMALL, F.lit(0).cast("bigint")).otherwise(F.col("doc"))
-        nodes = level.join(sizes, "node").groupBy("node", "size", apart.alias("apart")).agg(F.collect_list(F.struct(*keep)).alias("docs"))
-        nodes = scratch.save(nodes, f"level{depth}")
-        if depth > 1:
-            scratch.drop(f"level{depth - 1}")
-            spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished levels
-        # Found at once, so that a level need not be kept for the end.
-        leaves.append(scratch.save(leaf_pairs(nodes.where(F.col("size") <= SMALL).select("docs")).distinct(), f"pairs{depth}"))
-        large = nodes.where(F.col("size") > SMALL).select("node", F.col("docs")[0].alias("d")).select("node", "d.*")
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            wide.append(large)
+    def compared(nodes: DataFrame) -> DataFrame:
+        """Candidates of nodes; those of more than SMALL documents in pairs of blocks, so that no task holds a node."""
+        blocks = F.ceil(F.col("size") / SMALL).cast("int")
+        block = F.pmod(F.xxhash64("doc", F.lit(5)), blocks).cast("int")
+        spread = nodes.select("node", "doc", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        spread = spread.select("node", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        full = spread.join(docs.select("doc", "payload"), "doc")
+        sides = [F.collect_list(F.when(F.col("block") == F.col("i"), F.col("payload"))), F.collect_list(F.when(F.col("block") != F.col("i"), F.col("payload")))]
+        grouped = full.groupBy("node", "i", "j").agg(sides[0].alias("xs"), sides[1].alias("ys"))
+        # Two different blocks need a document of each; one block two.
+        return _compare(grouped.where("i = j or (size(xs) > 0 and size(ys) > 0)").select("xs", "ys"), most)
+
+    # A value's bits differ in a sketch with probability (1 - s)(1 - 2^-PLANES).
+    differ = (1 - threshold) * (1 - 0.5**PLANES)
+    most = int(VALUES * differ + ERRORS * (VALUES * differ * (1 - differ)) ** 0.5)
+    two = [(3 * t + x, 3 * t + y) for t in range(TREES) for x, y in ((0, 1), (0, 2), (1, 2))]
+    roots = F.array(*[F.xxhash64(F.lit(x), F.lit(y), F.get("tokens", F.lit(x)), F.get("tokens", F.lit(y))) for x, y in two])
+    rows = docs.select(F.explode(roots).alias("node"), "doc")
+    found = []
+    for depth in range(2, DEPTH + 1):
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        nodes = scratch.save(rows.join(sizes, "node").select("node", "size", "doc"), f"nodes{depth}")
+        if depth > 2:
+            scratch.drop(f"nodes{depth - 1}")
+        scratch.sweep()
+        large = F.lit(False) if depth == DEPTH else F.col("size") > SMALL
+        found.append(scratch.save(compared(nodes.where(~large)).distinct(), f"pairs{depth}"))
+        scratch.sweep()
+        if nodes.where(large).isEmpty():
             break
-        level = branch(large.join(tokens, "doc"), chosen(), keep)
-    pairs = None
-    for found in leaves:
-        pairs = found if pairs is None else pairs.unionByName(found)
-    for rows in wide:  # documents that agree in all tokens of a path: nearly all are similar
-        x = rows.select("node", F.struct("doc", "b0", "b1").alias("x"))
-        y = rows.select("node", F.struct("doc", "b0", "b1").alias("y"))
-        found = x.join(y, "node").where((F.col("x.doc") < F.col("y.doc")) & near(F.col("x"), F.col("y"))).select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-        pairs = pairs.unionByName(found)
-    candidates = scratch.save(pairs.distinct(), "candidates")
-    # Tokens agree with probability s; the bound lies four standard errors below the threshold. Only what is left takes shingle sets along.
-    least = max(1, int(TOKENS * threshold - 4 * (TOKENS * threshold * (1 - threshold)) ** 0.5))
-    both = candidates.join(tokens.select(F.col("doc").alias("doc_a"), F.col("tokens").alias("ta")), "doc_a").join(tokens.select(F.col("doc").alias("doc_b"), F.col("tokens").alias("tb")), "doc_b")
-    agree = F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda x: x))
-    candidates = scratch.save(both.where(agree >= least).select("doc_a", "doc_b"), "likely")
-    grams = docs.select("doc", "grams")
-    both = candidates.join(grams.select(F.col("doc").alias("doc_a"), F.col("grams").alias("ga")), "doc_a").join(grams.select(F.col("doc").alias("doc_b"), F.col("grams").alias("gb")), "doc_b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    checked = both.select("doc_a", "doc_b", common.alias("common"), (F.size("ga") + F.size("gb")).alias("total"))
-    return members, checked.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common"))).select("doc_a", "doc_b")
+        rows = branch(nodes.where(large).join(docs.select("doc", "tokens"), "doc"), chosen())
+    candidates = reduce(lambda a, b: a.unionByName(b), found).distinct()
+    words = docs.select("doc", "words")
+    one, other = (words.select(F.col("doc").alias(f"doc_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    pairs = scratch.save(_verify(candidates.join(one, "doc_a").join(other, "doc_b"), shingle, threshold), "pairs")
+    scratch.drop("docs", *[f"pairs{k + 2}" for k in range(len(found))], f"nodes{depth}")
+    return members, pairs
 
 
 def similar_ids(members: DataFrame, pairs: DataFrame) -> DataFrame:
