@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
