@@ -33,7 +33,7 @@ TREES = 7
 #: Nodes of at most so many documents are compared exhaustively; at DEPTH tokens every node is, in blocks of so many.
 SMALL, DEPTH = 64, 7
 #: The sketch's bound lies so many standard errors below the threshold.
-ERRORS = 3.5
+ERRORS = 4.0
 
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-䶿一-鿿]|[豈-﫿]")
 _MARK = re.compile(r"[̀-ͯ֐-߿ऀ-෿⃐-⃿]")
@@ -219,25 +219,27 @@ def similar_pairs(df: DataFrame, shingle: int = 5, threshold: float = 0.8, least
     most = int(VALUES * differ + ERRORS * (VALUES * differ * (1 - differ)) ** 0.5)
     two = [(3 * t + x, 3 * t + y) for t in range(TREES) for x, y in ((0, 1), (0, 2), (1, 2))]
     roots = F.array(*[F.xxhash64(F.lit(x), F.lit(y), F.get("tokens", F.lit(x)), F.get("tokens", F.lit(y))) for x, y in two])
-    rows = docs.select(F.explode(roots).alias("node"), "doc")
-    found = []
+    rows, active, small = docs.select(F.explode(roots).alias("node"), "doc"), docs.select("doc", "tokens"), []
     for depth in range(2, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         nodes = scratch.save(rows.join(sizes, "node").select("node", "size", "doc"), f"nodes{depth}")
-        if depth > 2:
-            scratch.drop(f"nodes{depth - 1}")
         scratch.sweep()
-        large = F.lit(False) if depth == DEPTH else F.col("size") > SMALL
-        found.append(scratch.save(compared(nodes.where(~large)).distinct(), f"pairs{depth}"))
-        scratch.sweep()
-        if nodes.where(large).isEmpty():
+        limit = SMALL if depth < DEPTH else 1 << 62
+        small.append(nodes.where(F.col("size") <= limit))
+        large = nodes.where(F.col("size") > limit)
+        if large.isEmpty():
             break
-        rows = branch(nodes.where(large).join(docs.select("doc", "tokens"), "doc"), chosen())
-    candidates = reduce(lambda a, b: a.unionByName(b), found).distinct()
+        # Only documents that still are in large nodes bring their tokens along.
+        active = scratch.save(active.join(large.select("doc").distinct(), "doc", "left_semi"), f"active{depth}")
+        scratch.drop(f"active{depth - 1}")
+        rows = branch(large.join(active, "doc"), chosen())
+    candidates = scratch.save(compared(reduce(lambda a, b: a.unionByName(b), small)).distinct(), "candidates")
+    scratch.drop(f"active{depth - 1}", *[f"nodes{k + 2}" for k in range(len(small))])
+    scratch.sweep()
     words = docs.select("doc", "words")
     one, other = (words.select(F.col("doc").alias(f"doc_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     pairs = scratch.save(_verify(candidates.join(one, "doc_a").join(other, "doc_b"), shingle, threshold), "pairs")
-    scratch.drop("docs", *[f"pairs{k + 2}" for k in range(len(found))], f"nodes{depth}")
+    scratch.drop("docs", "candidates")
     return members, pairs
 
 
