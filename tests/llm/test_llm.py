@@ -289,3 +289,14 @@ def test_the_lemma_bound_is_a_bound():
             end = int(np.searchsorted(starts, starts[k] + 8))
             kept += bool(counts[k]) and end <= x + n and not hit & set(range(k, end))
         assert kept >= loose
+
+
+def test_the_document_overrules_the_corpus():
+    corpus = {"art": "m", "bzw": "m", "usw": "a", "der": "c"}
+    units = lambda t: [t[a:b] for a, b in sentences.segment(t, corpus)]
+    assert units("He sells art. Nobody buys art here.") == ["He sells art.", "Nobody buys art here."]
+    assert units("See art. 5 and art. Nine of it.") == ["See art. 5 and art. Nine of it."]
+    # A proper name after an abbreviation never seen at an end goes on; a common word does not.
+    assert units("Rom bzw. Hamburg sind da. In Hamburg regnet es.") == ["Rom bzw. Hamburg sind da.", "In Hamburg regnet es."]
+    assert units("Rom bzw. Der Zug kam. Es war der Zug.") == ["Rom bzw.", "Der Zug kam.", "Es war der Zug."]
+    assert units("Brot usw. Hamburg ist da.") == ["Brot usw.", "Hamburg ist da."]

@@ -1,22 +1,33 @@
 """Sentence units of documents in many languages, scripts and layouts.
 
-Full stops are decided by what their words do elsewhere: in the same document first, then in the
-whole corpus. A word is an abbreviation if it carries its stop before small letters or digits
-without otherwise ending sentences. Other marks follow the rules of their scripts. Quotations and
-brackets hold their stops together; blank lines always divide.
+Full stops are decided by what their words do elsewhere, unambiguously: in the same document first,
+then in the whole corpus. A word is an abbreviation if it carries its stop before small letters or
+digits, and an ordinary word if it stands without a stop. After an abbreviation a capital ends the
+sentence, but not if it begins a proper name and the abbreviation was never seen at a sentence's end;
+a name is a word that the document has with a capital inside a sentence and never in small letters.
+Other marks follow the rules of their scripts. Quotations and brackets hold their stops together;
+blank lines always divide.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import Scratch
 from threadloom.tables import table
 
+#: Least share of all stops, or of all documents, for a word to be kept as the corpus's evidence: at
+#: most 1 / share words are broadcast, whatever the size of the corpus.
+STOP_SHARE, DOCUMENT_SHARE = 1e-6, 1e-3
+#: Longer runs of letters and stops are no words.
+LONGEST_WORD = 200
+
 _BLANK = re.compile(r"[^\S\n]*\r?\n(?:[^\S\n]*\r?\n)+[^\S\n]*|\s*[ \f]\s*")
 _EVENT = re.compile("[.!?…。！？｡।॥؟۔]+|[“”„«»\"「」『』(（[)）\\]]|[^\\S\\n]*\\n?[^\\S\\n]+(?=[฀-๿])")
 _PAIR = {"«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
@@ -24,8 +35,13 @@ _SHUT = "”»」』)）]\"“"
 _TAIL = re.compile(r"\s*(?:[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+|(?:via\s+)?[#@][\w.@-]*\w|https?://[!-~]+)")
 _EMOJI = re.compile(r"\s*[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+")
 _BEFORE = re.compile(r"[^\W_][\w.]*$")
-_DOTTED = re.compile(r"(?<![\w.])(\w[\w.]{0,11})\.(?=\s+[a-zß-öø-ÿа-яё]|[,;:])")
-_SPACE = re.compile(r"\s+")
+_DOTTED = re.compile(r"\.(?=\s+[a-zß-öø-ÿа-яё]|[,;:])")
+# A word with what its stop stands before (a letter or digit, or a mark), or without a stop.
+_COUNTED = re.compile(r"(?<![\w.’'])((?:[^\W\d_]\.)*[^\W\d_]++)(?:\.(?:(?=\s+(\w))|(?=([,;:])))|(?![\w.’']))")
+_STOPPED = re.compile(r"(?<![\w.’'])((?:[^\W\d_]\.)*[^\W\d_]++)\.\s+([^\W\d_]+)")
+_ELIDED = re.compile(r"(?<=[^\W\d_])[’'](?=[^\W\d_])")
+_NAME = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"(?<=[^\W_])[,;]?\s+([^\W\d_]+)")
 _OPENERS = "“„«\"(（[¿¡'‘「『—–- "
 # German month names, before which a day number's stop ends nothing.
 _MONTH = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
@@ -68,14 +84,60 @@ def _next_kind(text: str, at: int, end: int) -> str:
     return "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" if c.isalpha() else "x"
 
 
+class Evidence:
+    """What the words of one document, and then of the corpus, are: abbreviations, ordinary words, names."""
+
+    def __init__(self, text: str, corpus: dict[str, str]):
+        self.text, self.corpus = text, corpus
+        self._words: dict[str, int] | None = None
+        self._dotted: set[str] | None = None
+        self._names: set[str] | None = None
+
+    def plain(self, word: str) -> bool:
+        """Does the document hold the word without a stop?"""
+        if self._words is None:
+            self._words = {m[0]: 1 for m in _COUNTED.findall(_ELIDED.sub(" ", self.text)) if not m[1] and not m[2]}
+        return word in self._words
+
+    def dotted(self, low: str) -> bool:
+        """Does the document hold the word with a stop inside a sentence?"""
+        if self._dotted is None:
+            self._dotted = {_word_before(self.text, m.start()).lower() for m in _DOTTED.finditer(self.text)}
+        return low in self._dotted
+
+    def kind(self, w: str) -> str:
+        """The kind of the abbreviation that w is before a stop, or ''."""
+        if not w or w.isdigit():
+            return ""
+        if len(w) == 1 and w.isalpha():
+            return "i"
+        low = w.lower()
+        known = self.corpus.get(low, "")
+        if known in ("t", "n"):
+            return "" if known == "t" and w.islower() else known
+        if self.dotted(low):
+            return known if known in ("a", "m") else "" if known or self.plain(w) else "a"
+        return known if known in ("a", "m") and not self.plain(w) else ""
+
+    def name(self, word: str) -> bool:
+        """Is the capitalised word a proper name: by the document, or no common word of the corpus?"""
+        low = word.lower()
+        if self.plain(low):
+            return False
+        if self._names is None:
+            self._names = set(_INSIDE.findall(self.text))
+        return word in self._names or self.corpus.get(low) != "c"
+
+
 def segment(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
     """(start, end) code-point offsets of the units of a text.
 
-    corpus: abbreviations of the corpus in lower case, with "t" for titles (a name follows), "a" for
-    others and "n" for those only before numbers.
+    corpus: words in lower case with "t" for titles (a name follows), "n" for abbreviations only before
+    numbers, "a" for others that also end sentences, "m" for those that were never seen to, and "c"
+    for common words.
     """
     units: list[tuple[int, int]] = []
-    own: set[str] | None = None
+    evidence = Evidence(text, corpus)
     at, blocks = 0, []
     for m in _BLANK.finditer(text):
         blocks.append((at, m.start()))
@@ -116,7 +178,7 @@ def segment(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
                 while k > op and (text[k].isspace() or text[k] in _SHUT):
                     k -= 1
                 ended = text[k] in ".!?…。！？｡।॥؟۔"
-                if text[k] == "." and ended and _is_abbreviation(text, k, corpus, own := own if own is not None else {x.lower() for x in _DOTTED.findall(text)}):
+                if text[k] == "." and ended and evidence.kind(_word_before(text, k)):
                     ended = text[op] not in "(（["
                 first = text[start:op].strip(" \t\n—–-") == ""
                 stop = cl + 1
@@ -136,8 +198,7 @@ def segment(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
                 if "\n" in c and not c.replace("\n", ""):
                     pos = e
                     continue
-                word = _SPACE.split(text[e : e + 40], maxsplit=1)[0]
-                if not _THAI.match(left) or word[:1].isdigit():
+                if not _THAI.match(left) or text[e : e + 1].isdigit():
                     pos = e
                     continue
                 if _TAIL.match(text, p, b):
@@ -150,7 +211,7 @@ def segment(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
             else:
                 stop = e
                 if "." in c or "…" in c:
-                    if not _ends(text, p, e, b, c, corpus, own := own if own is not None else {x.lower() for x in _DOTTED.findall(text)}):
+                    if not _ends(text, p, e, b, c, evidence):
                         pos = e
                         continue
                 elif c[-1] in "!?" and _next_kind(text, e, b) == "l":
@@ -191,25 +252,11 @@ def _add(units: list[tuple[int, int]], text: str, a: int, b: int) -> None:
 
 
 def _word_before(text: str, p: int) -> str:
-    m = _BEFORE.search(text, max(0, p - 24), p)
+    m = _BEFORE.search(text, max(0, p - LONGEST_WORD), p)
     return m.group() if m else ""
 
 
-def _is_abbreviation(text: str, p: int, corpus: dict[str, str], own: set[str]) -> str:
-    """The kind of the abbreviation whose stop is at p, or ''."""
-    w = _word_before(text, p)
-    if not w or w.isdigit():
-        return ""
-    if len(w) == 1 and w.isalpha():
-        return "i"
-    low = w.lower()
-    kind = corpus.get(low, "")
-    if kind:
-        return kind if not (kind == "t" and w.islower()) else ""
-    return "a" if low in own and len(w) <= 5 and not re.search(rf"(?<!\w){re.escape(w)}(?![\w.])", text) else ""
-
-
-def _ends(text: str, p: int, e: int, b: int, c: str, corpus: dict[str, str], own: set[str]) -> bool:
+def _ends(text: str, p: int, e: int, b: int, c: str, evidence: Evidence) -> bool:
     """Does the cluster c of full stops at p..e end a sentence?"""
     after = text[e] if e < b else ""
     kind = _next_kind(text, e, b)
@@ -237,42 +284,76 @@ def _ends(text: str, p: int, e: int, b: int, c: str, corpus: dict[str, str], own
     if w.isdigit() and len(w) <= 2:
         rest = text[e:b].lstrip()
         return not _MONTH.match(rest)
-    abbreviation = _is_abbreviation(text, p, corpus, own)
-    if not abbreviation:
+    abbreviation = evidence.kind(w)
+    if not abbreviation or abbreviation == "n" and kind != "d":
         return True
-    if kind == "d":
-        return abbreviation == "t" and False
-    if abbreviation in ("i", "t"):
+    if kind == "d" or abbreviation in ("i", "t"):
         return False
-    if abbreviation == "n":
-        return True
+    if kind == "u" and abbreviation == "m":
+        following = _NAME.search(text, e, b)
+        return not (following and evidence.name(following.group()))
     return kind in ("u", "x", "o")
 
 
-def abbreviations(documents: DataFrame) -> dict[str, str]:
-    """The corpus's abbreviations in lower case with their kind, from counts over all documents.
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, kind, n: in all documents, how often each word carries a stop before small letters or marks (low),
+    digits or capitals (up), stands without one (bare), carries one before a capital that the document also
+    has in small letters (ends), and the documents that hold it in small letters (df); the word '' counts documents.
+    Counted in each batch before anything is shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter = Counter()
+            docs: Counter = Counter()
+            ends: Counter = Counter()
+            for text in pdf["text"]:
+                if not isinstance(text, str):
+                    continue
+                text = _ELIDED.sub(" ", text)
+                found = _COUNTED.findall(text)
+                seen.update(found)
+                words = {m[0] for m in found if not m[1] and not m[2]}
+                docs.update(w for w in words if w.islower())
+                docs[""] += 1
+                ends.update(w for w, follower in _STOPPED.findall(text) if follower[0].isupper() and follower.lower() in words)
+            kinds: Counter = Counter()
+            for (word, letter, mark), n in seen.items():
+                kind = "low" if mark or letter.islower() else "digit" if letter.isdigit() else "up" if letter.isupper() else "" if letter else "bare"
+                if kind:
+                    kinds[word, kind] += n
+            rows = [(w, k, n) for (w, k), n in kinds.items()] + [(w, "df", n) for w, n in docs.items()] + [(w, "ends", n) for w, n in ends.items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "kind", "n"])
+
+    counts = documents.select("text").mapInPandas(run, "word string, kind string, n bigint")
+    each = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("low", "digit", "up", "bare", "ends", "df")]
+    return counts.groupBy("word").agg(*each)
+
+
+def corpus_words(documents: DataFrame) -> dict[str, str]:
+    """The corpus's abbreviations with their kinds and its common words, in lower case, from counts over all documents.
 
-    Only words of at most six letters that stand before a stop and keep to it are returned, so the
-    result grows with the number of abbreviations, not with the corpus.
+    Words of less than STOP_SHARE of all stops, or in less than DOCUMENT_SHARE of all documents, are
+    left out, so that what the driver holds and broadcasts has a bound.
     """
-    text = F.col("text")
-    token = r"(?<![\p{L}\p{N}.’'])((?:\p{L}\.){0,3}\p{L}{1,6})"
-    follow = {"low": r"\.(?=\s+[\p{Ll}]|[,;:])", "digit": r"\.(?=\s+\p{N})", "up": r"\.(?=\s+[\p{Lu}])", "bare": r"(?![\p{L}\p{N}.’'])"}
-    elided = F.regexp_replace(text, r"(?<=\p{L})[’'](?=\p{L})", " ")
-    rows = documents.where(text.isNotNull()).select(elided.alias("t"))
-    tagged = lambda k: lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"))
-    each = rows.select(F.explode(F.concat(*[F.transform(F.regexp_extract_all("t", F.lit(token + f), F.lit(1)), tagged(k)) for k, f in follow.items()])).alias("x"))
-    counts = each.groupBy(F.col("x.w").alias("word")).agg(*[F.sum((F.col("x.k") == k).cast("bigint")).alias(k) for k in follow])
+    scratch = Scratch(documents.sparkSession, "sentences")
+    counts = scratch.save(word_counts(documents), "words")
     dotted = F.col("low") + F.col("digit") + F.col("up")
+    stops, rows = counts.agg(F.sum(dotted), F.sum(F.when(F.col("word") == "", F.col("df")))).first()
     rare_bare = F.col("bare") <= 0.1 * dotted
     plain = (F.col("low") >= 2) & (F.col("low") >= 0.15 * dotted) & rare_bare
-    title = (F.col("up") >= 4) & (F.col("low") + F.col("digit") <= 0.02 * F.col("up")) & (F.col("bare") <= 0.5 * dotted) & F.col("word").rlike(r"^\p{Lu}\p{Ll}{0,3}$|^\p{Lu}{2}$|^\p{Lu}\p{Ll}{1,3}$") & (F.length("word") <= 4)
-    number = (F.col("digit") >= 2) & (F.col("up") <= 0.1 * F.col("digit"))
-    kind = F.when(number & ~plain, "n").when(plain, "a").when(title, "t")
-    found = counts.select(F.col("word"), kind.alias("kind"), dotted.alias("n")).where("kind is not null")
+    title = (F.col("up") >= 4) & (F.col("low") + F.col("digit") <= 0.02 * F.col("up")) & (F.col("bare") <= 0.5 * dotted) & F.col("word").rlike(r"^\p{Lu}\p{Ll}{0,3}$|^\p{Lu}{2}$")
+    # A word that also stands without a stop must stand before numbers so often that it can't be by chance.
+    number = (F.col("digit") >= F.when(rare_bare, 2).otherwise(8)) & (F.col("up") <= 0.1 * F.col("digit"))
+    kind = F.when(number & ~plain, "n").when(plain, F.when(F.col("ends") > 0, "a").otherwise("m")).when(title, "t")
+    enough = dotted >= STOP_SHARE * (stops or 0)
+    common = F.when(F.col("df") >= F.greatest(F.lit(2.0), F.lit(DOCUMENT_SHARE * (rows or 0))), "c")
+    found = counts.where("word <> ''").select("word", F.coalesce(F.when(enough, kind), common).alias("kind"), dotted.alias("n")).where("kind is not null")
     out: dict[str, str] = {}
-    for r in found.orderBy("n").collect():
+    for r in found.orderBy(F.col("kind") != "c", "n").collect():
         out[r["word"].lower()] = r["kind"]
+    scratch.drop("words")
     return out
 
 
@@ -282,7 +363,7 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     Offsets count code points, the end is exclusive, units have no white space at either end. Null
     and blank texts give no unit; repeated rows give their units again; whole texts are read.
     """
-    known = documents.sparkSession.sparkContext.broadcast(abbreviations(documents))
+    known = documents.sparkSession.sparkContext.broadcast(corpus_words(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         corpus = known.value
