@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import language, leakage, mixing, neardup, sentences, splits, truncation
+from threadloom.llm import language, leakage, mixing, neardup, sentences, splits, subsets, truncation
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = "river council report video claim share harbour letter mayor census ballot ferry tower grain school clinic archive desk radio story query budget".split()
@@ -300,3 +300,24 @@ def test_the_document_overrules_the_corpus():
     assert units("Rom bzw. Hamburg sind da. In Hamburg regnet es.") == ["Rom bzw. Hamburg sind da.", "In Hamburg regnet es."]
     assert units("Rom bzw. Der Zug kam. Es war der Zug.") == ["Rom bzw.", "Der Zug kam.", "Es war der Zug."]
     assert units("Brot usw. Hamburg ist da.") == ["Brot usw.", "Hamburg ist da."]
+
+
+def test_closest_sums_in_bounded_memory():
+    sizes = {10**6 + 7 * k: 50 for k in range(300)} | {10 * k: 30 for k in range(1, 400)} | {1: 9}
+    target = 9_876_543_210
+    took = subsets.closest(sizes, target)
+    assert all(0 < n <= sizes[s] for s, n in took.items()) and abs(sum(s * n for s, n in took.items()) - target) <= 1
+    assert subsets.closest({}, 5) == {} and subsets.closest({7: 2}, 0) == {} and subsets.closest({4: 1, 9: 1}, 6) == {4: 1}
+
+
+def test_segments_of_a_mixed_text(spark):
+    english = "The council counted every letter in the office on Monday. Nobody had asked for the numbers before. "
+    german = "Der Rat hat am Montag alle Briefe im Amt gezählt. Niemand hatte vorher nach den Zahlen gefragt. "
+    known = [("en", english)] * 3 + [("de", german)] * 3
+    text = english + german
+    rows = [("mixed", text), ("one", english), ("short", "two words"), ("none", None), ("empty", ""), ("mixed", text)]
+    got = language.detect_segments(spark.createDataFrame(rows, "row_id string, text string"), known).orderBy("row_id", "start_pos").collect()
+    spans = [(r["row_id"], r["lang"], text[r["start_pos"] : r["end_pos"]]) for r in got]
+    want = [("mixed", "en", english.strip()), ("mixed", "de", german.strip())]
+    assert [(i, lang, t.strip()) for i, lang, t in spans if i == "mixed"] == [x for x in want for _ in (0, 1)]
+    assert [x[:2] for x in spans if x[0] != "mixed"] == [("one", "en")] and all(0 < r["confidence"] <= 1 for r in got)

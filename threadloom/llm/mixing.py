@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.subsets import closest
 from threadloom.operators.ranking import rank_within
 from threadloom.session import Scratch
 from threadloom.tables import table
@@ -69,28 +70,8 @@ def fit_lengths(target: int, counts: dict[int, int]) -> dict[int, int]:
         return dict(counts)
     take = {n: int(c * target / total) for n, c in counts.items()}
     rest = target - sum(n * k for n, k in take.items())
-    # Less than one document of each length is missing, so the search covers at most the sum of the distinct lengths.
-    parts = []
-    for n in sorted((n for n in counts if n > 0), reverse=True):
-        c, power = min(counts[n] - take[n], rest // n + 1), 1
-        while c > 0:
-            k = min(power, c)
-            parts.append((n, k))
-            c, power = c - k, power * 2
-    most = rest + (max(counts) if counts else 0)
-    mask, bits, history = (1 << (most + 1)) - 1, 1, []
-    for n, k in parts:
-        grown = bits | (bits << (n * k)) & mask
-        if grown != bits:
-            history.append((n, k, bits))
-        bits = grown
-        if bits >> rest & 1:
-            break
-    reach = next(t for d in range(most + 1) for t in (rest - d, rest + d) if 0 <= t <= most and bits >> t & 1)
-    for n, k, before in reversed(history):
-        if not before >> reach & 1:
-            take[n] += k
-            reach -= n * k
+    for n, k in closest({n: c - take[n] for n, c in counts.items()}, rest).items():
+        take[n] += k
     return take
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm.language import p1_found, p1_languages
+from threadloom.llm.language import p1_found, p1_languages, p1_segments
 from threadloom.llm.leakage import p7_found, p7_items
 from threadloom.llm.mixing import p8_selection, p8_shares
 from threadloom.llm.neardup import p3_classes, p3_found
@@ -13,6 +13,7 @@ from threadloom.llm.truncation import p6_found, p6_rates
 QUERIES = {
     "p1_found": p1_found,
     "p1_languages": p1_languages,
+    "p1_segments": p1_segments,
     "p2_found": same_split_pairs,
     "p2_splits": split_rows,
     "p2_rows": row_splits,

@@ -1,8 +1,8 @@
 """Splits that keep together the records of one author, article or account.
 
-Keys are written unevenly and accounts move: spellings hang on a normal form by an equi-join,
-normal forms are linked by moves. Components come from parallel hooking and shortcutting of a
-parent table; components get splits by subset sums over the multiplicities of their sizes.
+Keys are written unevenly and accounts move: written keys are linked to their normal form, normal
+forms to those of the accounts moved to. Components of this graph come from parallel hooking and
+shortcutting of a parent table; they get splits by subset sums over the multiplicities of their sizes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.subsets import closest
 from threadloom.operators.ranking import rank_within
 from threadloom.session import Scratch
 from threadloom.tables import table
@@ -100,14 +101,18 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_id = moves.where("m.id is not null").select("a", normal_author(F.concat(F.lit("mastodon:"), F.col("m.id"))).alias("b"))
     named = moves.where("m.id is null and m.acct is not null").select("a", F.lower(_strip(F.col("m.acct"))).alias("acct"))
     by_acct = named.join(handles.where("acct is not null").groupBy("acct").agg(F.min("owner").alias("b")), "acct").select("a", "b")
-    roots = components(by_id.unionByName(by_acct), "a", "b")
     parts = []
     for name, column, normal in KEYS:
         counted = table(spark, sf_dir, name).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
         parts.append(counted.select(F.lit(name).alias("table_name"), "key", normal(F.col("key")).alias("normal"), "n_rows"))
-    keys = reduce(lambda a, b: a.unionByName(b), parts).where("normal is not null")
-    joined = keys.join(roots, (keys.normal == roots.node) & (keys.table_name == "records"), "left")
-    return joined.select("table_name", "key", F.coalesce("root", "normal").alias("root"), "n_rows")
+    keys = Scratch(spark, "spellings").save(reduce(lambda a, b: a.unionByName(b), parts).where("normal is not null"), "keys")
+    # One graph: a written key hangs on its normal form, normal forms hang on those of accounts moved to.
+    form = lambda name, c: F.concat(name, F.lit("="), c)
+    written = lambda name, c: F.concat(name, F.lit("~"), c)
+    spelled = keys.select(form(F.col("table_name"), F.col("normal")).alias("a"), written(F.col("table_name"), F.col("key")).alias("b"))
+    moved_on = by_id.unionByName(by_acct).select(*[form(F.lit("records"), F.col(x)).alias(x) for x in "ab"])
+    roots = components(spelled.unionByName(moved_on), "a", "b")
+    return keys.withColumn("node", written(F.col("table_name"), F.col("key"))).join(roots, "node").select("table_name", "key", "root", "n_rows")
 
 
 def same_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,58 +122,28 @@ def same_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(other, ["table_name", "root"]).where("key < key_b").select("table_name", F.col("key").alias("key_a"), "key_b")
 
 
-#: Sizes count in units so large that a table has at most so many units; one row up to that many rows.
-MOST_UNITS = 1 << 27
-
-
 def subset_sum_plan(sizes: dict[int, int], shares: tuple[float, ...] = SHARES) -> list[dict[int, int]]:
     """How many components of each size go to each split so that the totals come closest to the shares.
 
-    All splits but the largest are filled one after the other: reachable totals are the bits of one
-    integer, to which the binary parts of each size's multiplicity are added by shifts; the reachable
-    total closest to the target is traced back. The largest share takes the rest.
+    All splits but the largest are filled one after the other: a proportional part of every size
+    first, so that each split gets components of all sizes; the bitset of reachable totals then
+    covers what is left to reach. The largest share takes the rest.
     """
     total = sum(s * c for s, c in sizes.items())
-    unit = max(1, -(-total // MOST_UNITS))
     left = dict(sizes)
     order = sorted(range(len(shares)), key=lambda k: shares[k])
     plan: list[dict[int, int]] = [{} for _ in shares]
-    for k in order[:-1]:
-        target = round(shares[k] * total / unit)
-        take: dict[int, int] = {}
-        # A proportional part of every size first; the bits then cover only what is left to reach.
-        for s, c in left.items():
-            n = int(c * shares[k] / sum(shares[j] for j in order[order.index(k) :]))
-            if n:
-                take[s] = n
-        rest = target - sum(s * n for s, n in take.items()) // unit
-        while rest < 0:
-            s = min(x for x in take if take[x])
-            take[s] -= 1
-            rest += max(1, s // unit)
-        parts = []
-        for s in sorted(left, reverse=True):
-            c, power = left[s] - take.get(s, 0), 1
-            c = min(c, rest // max(1, s // unit) + 1)
-            while c > 0:
-                n = min(power, c)
-                parts.append((s, n))
-                c, power = c - n, power * 2
-        most = 2 * rest + 1
-        mask, bits, history = (1 << (most + 1)) - 1, 1, []
-        for s, n in parts:
-            grown = bits | (bits << (n * max(1, s // unit))) & mask
-            if grown != bits:
-                history.append((s, n, bits))
-            bits = grown
-            if bits >> rest & 1:
-                break
-        reach = next(t for d in range(most + 1) for t in (rest - d, rest + d) if 0 <= t <= most and bits >> t & 1)
-        for s, n, before in reversed(history):
-            if not before >> reach & 1:
-                take[s] = take.get(s, 0) + n
-                reach -= n * max(1, s // unit)
-        plan[k] = take
+    for at, k in enumerate(order[:-1]):
+        part = shares[k] / sum(shares[j] for j in order[at:])
+        take = {s: n for s, c in left.items() if (n := int(c * part))}
+        rest = round(shares[k] * total) - sum(s * n for s, n in take.items())
+        for s in sorted(take):  # rounding of an earlier split may leave too much
+            while rest < 0 and take[s]:
+                take[s] -= 1
+                rest += s
+        for s, n in closest({s: c - take.get(s, 0) for s, c in left.items()}, rest).items():
+            take[s] = take.get(s, 0) + n
+        plan[k] = {s: n for s, n in take.items() if n}
         left = {s: c - take.get(s, 0) for s, c in left.items() if c - take.get(s, 0)}
     plan[order[-1]] = left
     return plan
