@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import corpus, evaluation, models, problems, texts
+from threadloom.plans import adapters, corpus, evaluation, models, problems, texts
 
-MODULES = [problems, corpus, evaluation, texts, models]
+MODULES = [problems, corpus, evaluation, texts, models, adapters]
 
 
 def queries() -> dict:

@@ -31,7 +31,7 @@ _R = "WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORD
     """WITH u AS (SELECT DISTINCT url FROM documents WHERE url IS NOT NULL), p AS (SELECT url, regexp_replace(url, '#.*$', '') AS base FROM u),
 h AS (SELECT url, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head, base FROM p),
 q AS (SELECT url, head, regexp_extract(substr(base, length(head) + 1), '^([^?]*)', 1) AS path, regexp_extract(substr(base, length(head) + 1), '\\?(.*)$', 1) AS query FROM h),
-k AS (SELECT url, head, path, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=&#]*|fbclid|gclid|mc_[^=&#]*|igshid|ref_src|ref_url|s|si|cmp|cmpid|smid)(?:=|$)')), '&') AS kept FROM q)
+k AS (SELECT url, head, path, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:utm_[^=&#]*|fbclid|gclid|mc_[^=&#]*|igshid|ref_src|ref_url|s|si|cmp|cmpid|smid)(?:=|$)')), '&') AS kept FROM q)
 SELECT url, CASE WHEN head = '' THEN url ELSE head || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM k"""
 )
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT DISTINCT id, speaker_id, conversation_id, reply_to, text, meta.score AS score FROM reddit_convokit_utterances),
-c AS (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' WHEN lower(trim(text)) IN ('[deleted]', '[removed]', '[deleted by user]', '[removed by reddit]') THEN 'deleted_text' ELSE 'kept' END AS outcome, reply_to FROM u)
+c AS (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' WHEN lower(trim(text)) IN ('[deleted]', '[removed]', 'deleted', 'removed', '[deleted by user]') THEN 'deleted_text' ELSE 'kept' END AS outcome, reply_to FROM u)
 SELECT outcome, count(*) AS n, count(reply_to) AS replies FROM c GROUP BY outcome"""
 )
 def reddit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
