@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import adapters, corpus, evaluation, models, problems, texts
+from threadloom.plans import adapters, corpus, evaluation, measures, models, problems, texts
 
-MODULES = [problems, corpus, evaluation, texts, models, adapters]
+MODULES = [problems, corpus, evaluation, texts, models, adapters, measures]
 
 
 def queries() -> dict:
