@@ -86,7 +86,7 @@ def _month_days(y: Column, m: Column) -> Column:
 def components(df: DataFrame, value: Column, unix: bool = False, zone: Column | None = None, order: Column | None = None) -> DataFrame:
     """df with _t_parts (one match per value, null where no form fits), _t_zone and _t_order; see ``utc_micros``."""
     null = F.lit(None).cast("string")
-    parts = _components(F.when(F.length(value) <= 100, value), unix)
+    parts = _components(value, unix)
     return df.select(*df.columns, parts.alias("_t_parts"), (null if zone is None else zone).alias("_t_zone"), (null if order is None else order).alias("_t_order"))
 
 
@@ -148,7 +148,7 @@ def utc_micros(df: DataFrame, value: Column, zone: Column | None = None, order:
     zone: IANA zone of values without one (UTC where null). order: "dmy" or "mdy" of all-numeric
     dates (dmy where null). unix: plain numbers are Unix times whose unit follows from their size.
     A wall-clock time that occurs twice is the first, a skipped one is read with the offset before
-    the change. Null, empty and very long values, impossible dates or times, unknown zones and
+    the change. Null and empty values, impossible dates or times, unknown zones and
     instants outside 2005-2030 give null. Columns whose names begin with ``_t_`` are dropped.
     """
     return assemble(components(df, value, unix, zone, order), out)

@@ -206,12 +206,13 @@ def unit_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", "label", F.posexplode("u").alias("pos", "x"))
 
 
-@query(_E + "SELECT label, n, round(least(1, greatest(-1, (s - n) / (n * (n - 1)))), 6) AS coherence FROM (SELECT label, max(n) AS n, sum(t * t) AS s FROM (SELECT label, i, sum(x) AS t, count(*) AS n FROM d GROUP BY label, i) GROUP BY label) WHERE n > 1")
+@query(_E + "SELECT label, n, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE round(least(1, greatest(-1, (s - n) / (n * (n - 1)))), 6) END AS coherence FROM (SELECT label, max(n) AS n, sum(t * t) AS s FROM (SELECT label, i, sum(x) AS t, count(*) AS n FROM d GROUP BY label, i) GROUP BY label)")
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean pairwise cosine of each label's vectors from the sum of unit vectors, without pairs."""
+    """Mean pairwise cosine of each label's vectors from the sum of unit vectors, without pairs; 1 for a single vector."""
     sums = unit_dims(spark, sf_dir).groupBy("label", "pos").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("n"))
-    by = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("t") * F.col("t")).alias("s")).where("n > 1")
-    return by.select("label", "n", F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)))), 6).alias("coherence"))
+    by = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("t") * F.col("t")).alias("s"))
+    mean = F.try_divide(F.col("s") - F.col("n"), F.col("n") * (F.col("n") - 1))
+    return by.select("label", "n", F.round(F.when(F.col("n") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), mean))), 6).alias("coherence"))
 
 
 @query(

@@ -29,10 +29,12 @@ def get_session(app: str = "threadloom", master: str = "local[8]", **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset in a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), f"threadloom-{os.getuid()}")
     os.makedirs(local, exist_ok=True)
     return f"file://{local}"
@@ -52,6 +54,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)  # gone when the application ends
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def sweep(self) -> None:

@@ -36,9 +36,8 @@ def write_records(df: DataFrame, root: str) -> dict[str, int]:
     total = df.count()
     first = W.partitionBy("id").orderBy("ingested_at", "timestamp")
     new = df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("date", F.date_format("timestamp", "yyyy-MM-dd"))
-    old = read_records(spark, root)
-    if old is not None:
-        new = new.join(old.select("id").distinct(), "id", "left_anti")
+    if exists(spark, root):  # of the corpus only the id column is read
+        new = new.join(spark.read.parquet(root).select("id"), "id", "left_anti")
     new = new.persist()
     written = new.count()
     if written:
