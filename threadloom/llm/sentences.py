@@ -34,11 +34,10 @@ _PAIR = {"«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]
 _SHUT = "”»」』)）]\"“"
 _TAIL = re.compile(r"\s*(?:[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+|(?:via\s+)?[#@][\w.@-]*\w|https?://[!-~]+)")
 _EMOJI = re.compile(r"\s*[←-⇿⌀-➿⬀-⯿️‍⃣\U0001f000-\U0001faff]+")
-_BEFORE = re.compile(r"[^\W_][\w.]*$")
 _DOTTED = re.compile(r"\.(?=\s+[a-zß-öø-ÿа-яё]|[,;:])")
 # A word with what its stop stands before (a letter or digit, or a mark), or without a stop.
 _COUNTED = re.compile(r"(?<![\w.’'])((?:[^\W\d_]\.)*[^\W\d_]++)(?:\.(?:(?=\s+(\w))|(?=([,;:])))|(?![\w.’']))")
-_STOPPED = re.compile(r"(?<![\w.’'])((?:[^\W\d_]\.)*[^\W\d_]++)\.\s+([^\W\d_]+)")
+_STOPPED = re.compile(r"\.\s+([^\W\d_]+)")
 _ELIDED = re.compile(r"(?<=[^\W\d_])[’'](?=[^\W\d_])")
 _NAME = re.compile(r"[^\W\d_]+")
 _INSIDE = re.compile(r"(?<=[^\W_])[,;]?\s+([^\W\d_]+)")
@@ -252,8 +251,13 @@ def _add(units: list[tuple[int, int]], text: str, a: int, b: int) -> None:
 
 
 def _word_before(text: str, p: int) -> str:
-    m = _BEFORE.search(text, max(0, p - LONGEST_WORD), p)
-    return m.group() if m else ""
+    """The run of letters, digits and stops that ends at p, from its first letter or digit on."""
+    k, least = p, max(0, p - LONGEST_WORD)
+    while k > least and ((c := text[k - 1]).isalnum() or c in "._"):
+        k -= 1
+    while k < p and not text[k].isalnum():
+        k += 1
+    return text[k:p]
 
 
 def _ends(text: str, p: int, e: int, b: int, c: str, evidence: Evidence) -> bool:
@@ -316,7 +320,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
                 words = {m[0] for m in found if not m[1] and not m[2]}
                 docs.update(w for w in words if w.islower())
                 docs[""] += 1
-                ends.update(w for w, follower in _STOPPED.findall(text) if follower[0].isupper() and follower.lower() in words)
+                ends.update(_word_before(text, m.start()) for m in _STOPPED.finditer(text) if m[1][0].isupper() and m[1].lower() in words)
             kinds: Counter = Counter()
             for (word, letter, mark), n in seen.items():
                 kind = "low" if mark or letter.islower() else "digit" if letter.isdigit() else "up" if letter.isupper() else "" if letter else "bare"
