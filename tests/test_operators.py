@@ -9,6 +9,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from threadloom.operators import coordination as C
 from threadloom.operators import evaluation as E
 from threadloom.operators import narratives as N
 from threadloom.sources import files, state
@@ -136,3 +137,21 @@ def test_state_survives_and_resets(spark, tmp_path):
     assert state.tree_digest(spark, f"{tmp_path}/tree")[1] == 2
     table = spark.createDataFrame([("a", {"bot": "1", "x": "2"}), ("b", {"bot": "0"}), ("c", None)], "k string, model_versions map<string,string>")
     assert [r["k"] for r in E.already_scored(table, ["k"], {"bot": "1"}).collect()] == ["a"]
+
+
+def test_evidence_links_accounts_and_hubs(spark):
+    t = dt.datetime(2024, 1, 1, 0, 10)
+    shape = "id string, author_id string, timestamp timestamp, urls array<string>, domains array<string>, hashtags array<string>, parent_id string"
+    rows = [(f"r{k}", f"a{k}", t, ["u"] if k < 3 else None, None, ["x", "y"] if k in (3, 4) else ["x"], "p" if k in (0, 5) else None) for k in range(6)]
+    rows += [("late", "a9", t + dt.timedelta(hours=5), ["u"], None, None, None), ("gone", "reddit:__deleted__", t, ["u"], None, None, None), ("none", None, t, ["u"], None, None, None), rows[0]]
+    df = spark.createDataFrame(rows, shape)
+    pairs = {(r["src"], r["dst"], r["kind"]): r["observations"] for r in C.record_edges(df).collect()}
+    assert pairs == {("a0", "a1", "cotweet"): 1, ("a0", "a2", "cotweet"): 1, ("a1", "a2", "cotweet"): 1, ("a3", "a4", "hashtag_seq"): 1, ("a0", "a5", "temporal"): 1}
+    hubs = [r for r in C.record_edges(df, most=2).collect() if r["kind"] == "cotweet"]
+    assert len(hubs) == 3 and all("key:" in r["src"] + r["dst"] for r in hubs)
+    two = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "src string, dst string, weight double")
+    split = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "2")], "node string, community string")
+    assert C.modularity(two, split) == pytest.approx(0.5) and C.modularity(two.where("false"), split) is None
+    moved = C.shuffled_times(df.where("author_id is not null"), 1)
+    times = lambda d: sorted((r["author_id"], r["timestamp"]) for r in d.select("author_id", "timestamp").collect())
+    assert times(moved) == times(df.where("author_id is not null"))

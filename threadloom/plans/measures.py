@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators import coordination as C
 from threadloom.operators import evaluation as E
 from threadloom.operators import narratives as N
 from threadloom.plans.corpus import latest
@@ -132,3 +133,35 @@ def stance_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines that carry one stance only."""
     t = table(spark, sf_dir, "train_stances").withColumn("y", F.lower("stance"))
     return consistent_claims(t, "headline", "y").select(F.lower("text").alias("claim"), "label")
+
+
+_K = """, k AS (SELECT author_id, floor(epoch_us(timestamp) / 3600000000)::BIGINT AS bucket, epoch_us(timestamp) AS us, urls, domains, hashtags, parent_id FROM r WHERE author_id IS NOT NULL AND timestamp IS NOT NULL AND NOT ends_with(author_id, ':__deleted__')),
+e AS (SELECT author_id, bucket, us, 'cotweet' AS kind, 'url:' || unnest(urls) AS key FROM k UNION ALL SELECT author_id, bucket, us, 'cotweet', 'domain:' || unnest(domains) FROM k
+  UNION ALL SELECT author_id, bucket, us, 'hashtag_seq', 'tags:' || array_to_string(hashtags, '|') FROM k WHERE len(hashtags) >= 2 UNION ALL SELECT author_id, bucket, us, 'temporal', 'parent:' || parent_id FROM k WHERE parent_id IS NOT NULL),
+g AS (SELECT kind, key, bucket, author_id, min(us) AS us, count(*) OVER (PARTITION BY kind, key, bucket) AS n FROM e WHERE key IS NOT NULL GROUP BY kind, key, bucket, author_id),
+p AS (SELECT a.author_id AS src, b.author_id AS dst, a.kind, least(a.us, b.us) AS us FROM g a JOIN g b USING (kind, key, bucket) WHERE a.author_id < b.author_id AND a.n <= 100
+  UNION ALL SELECT least(author_id, 'key:' || bucket || ':' || key), greatest(author_id, 'key:' || bucket || ':' || key), kind, us FROM g WHERE n > 100)
+"""
+
+
+@query(_R + _K + "SELECT src, dst, kind, count(*) AS observations, min(us) AS first_us FROM p GROUP BY ALL")
+def coordination_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts that share an address, a hashtag sequence or a parent within an hour."""
+    return C.record_edges(latest(spark, sf_dir))
+
+
+@query(_R + _K + "SELECT kind, count(*) AS edges, sum(n)::BIGINT AS observations, max(n) AS heaviest FROM (SELECT src, dst, kind, count(*) AS n FROM p GROUP BY ALL) GROUP BY kind")
+def coordination_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.edge_kinds(C.record_edges(latest(spark, sf_dir)))
+
+
+@query("SELECT 'universal' AS tier, true AS available UNION ALL SELECT 'social_graph', count(followers) > 0 FROM authors UNION ALL SELECT 'threading', count(parent_id) > 0 FROM records")
+def feature_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.tiers(table(spark, sf_dir, "records"), table(spark, sf_dir, "authors"))
+
+
+@query("SELECT author_id, coalesce(TRY_CAST(raw ->> '$.statuses_count' AS DOUBLE), TRY_CAST(raw ->> '$.tweet_count' AS DOUBLE), TRY_CAST(raw ->> '$.post_count' AS DOUBLE), TRY_CAST(raw ->> '$.videoCount' AS DOUBLE)) AS posts, CASE WHEN created_at <= last_seen THEN round((epoch_us(last_seen) - epoch_us(created_at)) / 8.64e10, 6) END AS age FROM authors")
+def author_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifetime posts by the platform's payload, and the account's age when last seen."""
+    a = table(spark, sf_dir, "authors")
+    return a.select("author_id", C.lifetime_posts(F.col("raw")).alias("posts"), F.round(C.age_days(F.col("created_at"), F.col("last_seen")), 6).alias("age"))
