@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import coordination as C
 from threadloom.operators import evaluation as E
 from threadloom.operators import narratives as N
+from threadloom.operators.neighbours import first_of_kind
 from threadloom.sources import files, state
 
 
@@ -155,3 +156,24 @@ def test_evidence_links_accounts_and_hubs(spark):
     moved = C.shuffled_times(df.where("author_id is not null"), 1)
     times = lambda d: sorted((r["author_id"], r["timestamp"]) for r in d.select("author_id", "timestamp").collect())
     assert times(moved) == times(df.where("author_id is not null"))
+
+
+def test_first_of_kind_is_the_greedy_choice(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**62), 2**62, 6)
+    rows = []
+    for k in range(160):
+        h = int(base[rng.integers(6)])
+        for _ in range(rng.integers(0, 4)):
+            h ^= 1 << int(rng.integers(0, 20))
+        rows.append((f"r{k:03}", h if k % 11 else None if k % 2 else 0))
+    near = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1") <= 3
+    reps, want = [], {}
+    for key, h in rows:
+        hit = next((r for r, g in reps if h and near(h, g) and (h >> 48) == (g >> 48)), key)
+        want[key] = hit
+        if hit == key and h:
+            reps.append((key, h))
+    df = spark.createDataFrame([*rows, rows[3], (None, 5)], "id string, simhash bigint")
+    assert {r["id"]: r["representative"] for r in first_of_kind(df).collect()} == want
+    assert first_of_kind(df.where("false")).collect() == []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import coordination as C
 from threadloom.operators import evaluation as E
 from threadloom.operators import narratives as N
+from threadloom.operators.neighbours import first_of_kind, hash_pairs
 from threadloom.plans.corpus import latest
 from threadloom.sources.files import consistent_claims
 from threadloom.tables import table
@@ -165,3 +166,15 @@ def author_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetime posts by the platform's payload, and the account's age when last seen."""
     a = table(spark, sf_dir, "authors")
     return a.select("author_id", C.lifetime_posts(F.col("raw")).alias("posts"), F.round(C.age_days(F.col("created_at"), F.col("last_seen")), 6).alias("age"))
+
+
+@query("WITH h AS (SELECT DISTINCT simhash AS a FROM records WHERE simhash IS NOT NULL AND simhash <> 0) SELECT x.a, y.a AS b, bit_count(xor(x.a, y.a))::INTEGER AS distance FROM h x JOIN h y ON x.a < y.a WHERE bit_count(xor(x.a, y.a)) <= 3")
+def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different hashes that differ in at most three bits, wherever these lie."""
+    return hash_pairs(table(spark, sf_dir, "records"), "simhash")
+
+
+@query()
+def collapsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, representative: each record's first near-duplicate by its hash."""
+    return first_of_kind(latest(spark, sf_dir))
