@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import similarity_hash
 from threadloom.operators import coordination as C
 from threadloom.operators import evaluation as E
 from threadloom.operators import narratives as N
@@ -178,3 +179,10 @@ def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collapsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, representative: each record's first near-duplicate by its hash."""
     return first_of_kind(latest(spark, sf_dir))
+
+
+@query(_R + "SELECT id, simhash FROM r WHERE simhash IS NOT NULL AND text IS NOT NULL")
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity hash of every record that came with one: made anew from its text, equal to the stored one."""
+    r = latest(spark, sf_dir).where("simhash is not null and text is not null")
+    return r.select("id", similarity_hash("text").alias("simhash"))
