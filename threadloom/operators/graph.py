@@ -26,7 +26,15 @@ def communities(edges: DataFrame, rounds: int = 40, levels: int = 12) -> DataFra
     members = nodes.select("node", F.col("node").alias("community"))
     if not m2:
         return members
-    for level in range(levels):
+    return merged(scratch, members, both, nodes, m2, rounds, 0, levels)
+
+
+def merged(scratch: Scratch, members: DataFrame, both: DataFrame, nodes: DataFrame, m2: float, rounds: int = 40, first: int = 0, levels: int = 12) -> DataFrame:
+    """members (node, community) after the levels from ``first`` on, whose nodes are the communities.
+
+    both: src, dst, w in both directions. nodes: node, deg. m2: the sum of all degrees.
+    """
+    for level in range(first, levels):
         state, moved = _moves(scratch, both, nodes, m2, rounds, level)
         if not moved:
             break
@@ -74,7 +82,11 @@ def coordination_scores(edges: DataFrame, membership: DataFrame, posts: DataFram
     """
     ends = edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight"))
     by = ends.groupBy("node").agg(F.avg("weight").alias("w"), F.count(F.lit(1)).alias("degree"))
-    top = edges.agg(F.max("weight").alias("w_max"))
+    return node_scores(by, edges.agg(F.max("weight").alias("w_max")), membership, posts)
+
+
+def node_scores(by: DataFrame, top: DataFrame, membership: DataFrame, posts: DataFrame) -> DataFrame:
+    """coordination_scores from each node's mean weight w and degree, and the one row w_max."""
     sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.agg(F.max("size").alias("size_max"))
     joined = by.join(membership, "node").join(sizes, "community").join(posts, "node", "left").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(largest))

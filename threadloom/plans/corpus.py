@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.coactivity import keys_by_user, pair_edges
 from threadloom.tables import table
 
 QUERIES: dict = {}
@@ -376,12 +377,15 @@ def co_activity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("s"))
-    least = e.agg(F.min("s").alias("s0"))
-    k = e.crossJoin(F.broadcast(least)).select("user_id", F.concat_ws(":", "event_type", F.floor((F.col("s") - F.col("s0")) / 3600)).alias("key")).distinct()
-    pairs = k.join(k.select("key", F.col("user_id").alias("dst")), "key").where(F.col("user_id") < F.col("dst"))
-    w = 0.6 * F.log(1 + F.col("observations"))
-    return pairs.groupBy(F.col("user_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("observations")).where(w >= 0.15).select("src", "dst", "observations", F.round(w, 5).alias("weight"))
+    return pair_edges(active_users(spark, sf_dir))
+
+
+def active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user, keys: the event types and hours since the first event in which each user was active."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    least = e.agg(F.min("us").alias("us0"))
+    hour = F.floor((F.col("us") - F.col("us0")) / 3_600_000_000)
+    return keys_by_user(e.crossJoin(F.broadcast(least)).select(F.col("user_id").alias("user"), F.concat("event_type", F.lit(":"), hour.cast("string")).alias("key")))
 
 
 @query(
