@@ -39,3 +39,20 @@ def test_co_activity_edges_without_a_table_of_pairs(spark, events):
     for block in (150, 100_000):  # users with few and with many of the others in common
         assert sorted(A.pair_edges(active_users(spark, where), block).collect()) == sorted(made.collect())
     assert A.pair_edges(active_users(spark, where).where("false")).collect() == []
+
+
+
+def test_modularity_from_sums_by_user(spark, events):
+    where, keys = events
+    weights = {p: round(0.6 * np.log(1 + n), 5) for p, n in pairs(keys).items()}
+    kind, m = lambda u: int(np.fmod(u, 5)), sum(weights.values())
+    deg = Counter()
+    for (a, b), w in weights.items():
+        deg[kind(a)] += w
+        deg[kind(b)] += w
+    want = sum(w for (a, b), w in weights.items() if kind(a) == kind(b)) / m - sum(d * d for d in deg.values()) / (4 * m * m)
+    assert QUERIES["modularity"](spark, where).first()["modularity"] == pytest.approx(want, abs=1e-6)
+    whole = sorted(A.node_sums(active_users(spark, where), 5).collect())
+    for block in (150,):
+        parts = sorted(A.node_sums(active_users(spark, where), 5, block).collect())
+        assert np.allclose([list(r) for r in parts], [list(r) for r in whole])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.operators.coactivity import keys_by_user, pair_edges
+from threadloom.operators.coactivity import keys_by_user, node_sums, pair_edges
 from threadloom.tables import table
 
 QUERIES: dict = {}
@@ -402,11 +402,8 @@ SELECT round(sum(coalesce(inside, 0) / m - (deg / (2 * m)) * (deg / (2 * m))), 6
 )
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modularity of the co-activity graph for the communities user_id mod 5."""
-    p = edges_by_key(spark, sf_dir)
-    ends = p.select(F.col("src").alias("u"), "weight").unionByName(p.select(F.col("dst").alias("u"), "weight"))
-    deg = ends.groupBy((F.col("u") % 5).alias("c")).agg(F.sum("weight").alias("deg"))
-    inside = p.where(F.col("src") % 5 == F.col("dst") % 5).groupBy((F.col("src") % 5).alias("c")).agg(F.sum("weight").alias("inside"))
-    both = deg.join(inside, "c", "left")
+    nodes = node_sums(active_users(spark, sf_dir), modulus=5)
+    both = nodes.groupBy((F.col("node") % 5).alias("c")).agg(F.sum("weight").alias("deg"), (F.sum("inside") / 2).alias("inside"))  # each edge inside has two ends
     m = F.sum("deg") / 2
-    sums = both.agg(m.alias("m"), F.sum(F.coalesce("inside", F.lit(0.0))).alias("i"), F.sum(F.col("deg") * F.col("deg")).alias("d2"))
+    sums = both.agg(m.alias("m"), F.sum("inside").alias("i"), F.sum(F.col("deg") * F.col("deg")).alias("d2"))
     return sums.select(F.round(F.col("i") / F.col("m") - F.col("d2") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
