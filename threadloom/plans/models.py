@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.anomaly import isolation_scores
+from threadloom.operators.coactivity import user_communities
 from threadloom.operators.graph import communities, coordination_scores
-from threadloom.plans.corpus import edges_by_key
+from threadloom.plans.corpus import active_users, edges_by_key
 from threadloom.plans.texts import anomaly_features
 from threadloom.session import Scratch
 from threadloom.streaming.ingest import author_rollup, tail
@@ -15,7 +16,7 @@ from threadloom.tables import table
 
 
 def co_activity_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(edges_by_key(spark, sf_dir))
+    return user_communities(active_users(spark, sf_dir))
 
 
 def coordination(spark: SparkSession, sf_dir: str) -> DataFrame:
