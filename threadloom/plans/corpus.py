@@ -373,10 +373,6 @@ SELECT src, dst, observations, round(0.6 * ln(1 + observations), 5) AS weight FR
 )
 def co_activity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted edges between users active with the same event type in the same hour."""
-    return edges_by_key(spark, sf_dir)
-
-
-def edges_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_edges(active_users(spark, sf_dir))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.anomaly import isolation_scores
-from threadloom.operators.coactivity import user_communities
-from threadloom.operators.graph import communities, coordination_scores
-from threadloom.plans.corpus import active_users, edges_by_key
+from threadloom.operators.coactivity import node_sums, user_communities
+from threadloom.operators.graph import node_scores
+from threadloom.plans.corpus import active_users
 from threadloom.plans.texts import anomaly_features
 from threadloom.session import Scratch
 from threadloom.streaming.ingest import author_rollup, tail
@@ -20,9 +20,11 @@ def co_activity_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coordination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = Scratch(spark, "coordination").save(edges_by_key(spark, sf_dir), "edges")
+    users = active_users(spark, sf_dir)
+    nodes = Scratch(spark, "coordination").save(node_sums(users), "nodes")
     posts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.count(F.lit(1)).alias("n_posts"))
-    return coordination_scores(edges, communities(edges), posts)
+    by = nodes.select("node", (F.col("weight") / F.col("degree")).alias("w"), "degree")
+    return node_scores(by, nodes.agg(F.max("heaviest").alias("w_max")), user_communities(users, nodes), posts)
 
 
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
