@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from threadloom.operators import coactivity as A
+from threadloom.plans import models
 from threadloom.plans.corpus import QUERIES, active_users
 
 
@@ -56,3 +57,11 @@ def test_modularity_from_sums_by_user(spark, events):
     for block in (150,):
         parts = sorted(A.node_sums(active_users(spark, where), 5, block).collect())
         assert np.allclose([list(r) for r in parts], [list(r) for r in whole])
+
+
+def test_communities_and_scores_of_two_groups(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(hours=h), u, "view") for g in (0, 10) for u in range(g, g + 4) for h in range(g, g + 3)]
+    spark.createDataFrame(rows, "ts timestamp, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    made = {r["node"]: (r["community"], r["score"]) for r in models.QUERIES["coordination"](spark, str(tmp_path)).collect()}
+    assert made == {u: (g, 1.0) for g in (0, 10) for u in range(g, g + 4)}
