@@ -273,6 +273,50 @@ def test_leaks_at_the_edit_budget():
     assert whole == {x for block in leakage.indexes(items, block=7) for x in leakage.local_leaks(docs, block)}
 
 
+def test_spacing_of_an_edited_passage_is_no_edit():
+    """Passages with as many edits as allowed are found however the document joins and splits the words between the edits."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randint(35, 90))]) for i in range(40)]
+
+    def spaced(run, often):
+        out = []
+        for w in run:
+            if out and rng.random() < often:
+                out[-1] += w
+            elif len(w) > 1 and rng.random() < often:
+                cut = rng.randint(1, len(w) - 1)
+                out += [w[:cut], w[cut:]]
+            else:
+                out.append(w)
+        return out
+
+    docs, truth = [], set()
+    for n in range(300):
+        i, w = rng.choice(items)
+        m = rng.choice([30, 35, rng.randint(30, len(w))])
+        at = rng.randint(0, len(w) - m)
+        spots = [-1, *sorted(rng.sample(range(1, m - 1), m // 7)), m]
+        kept = []
+        for a, b in zip(spots, spots[1:]):
+            kept += spaced(w[at + a + 1 : at + b], rng.choice([0.03, 0.15])) + ([] if b == m else rng.choice([[], ["zz" + w[at + b]], ["zzz", w[at + b]]]))
+        around = [rng.choice(words) for _ in range(rng.choice([0, 40, 800]))]
+        cut = rng.randint(0, len(around))
+        docs.append((n, around[:cut] + kept + around[cut:]))
+        truth.add((n, i))
+    docs.append((1000, spaced([w for k, w in enumerate(items[0][1]) if k % 5], 0.1)))  # one edit in five
+    assert set(leakage.local_leaks(docs, [x for block in leakage.indexes(items) for x in block])) == truth
+
+
+def test_chinese_passages_count_in_characters():
+    item = "虽然收到4510条投诉蔚棠峨岭的志愿者核对了柏琦霓关于通信铁塔的说法翊枫港没有人能证实"
+    run = "收到4510条投诉蔚棠峨岭的志愿者核对了柏琦霓关"
+    assert len(run) == 24
+    made = [x for block in leakage.indexes([(1, leakage.tokens(item))]) for x in block]
+    docs = [(1, leakage.tokens("今天" + run + "后来改正")), (2, leakage.tokens("今天" + run[:-1] + "后来改正"))]
+    assert leakage.local_leaks(docs, made) == [(1, 1)]
+
+
 def test_the_lemma_bound_is_a_bound():
     """No edited stretch keeps fewer q-grams than the bound says."""
     rng = random.Random(8)
